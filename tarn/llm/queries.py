@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, lines
+from tarn.llm import canon, lines, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,17 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.remove_repeated_lines(_read(spark, sf, "documents")).select("doc_id", "clean_text")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every paragraph of a document and every stored chunk that exceeds the limit."""
+    return split.oversized_units(_read(spark, sf, "documents"), _read(spark, sf, "chunks"))
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut into chunks."""
+    pieces = split.split_items(_read(spark, sf, "documents"), ["doc_id"])
+    return pieces.select("doc_id", "chunk_index", "n_pieces", "start_word", "n_words", F.col("piece").alias("text"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each phrase that answers must contain with each document that shows it."""
     phrases = _read(spark, sf, "eval_set").select(F.col("id").cast("long").alias("question_id"), F.posexplode("must_contain").alias("phrase_no", "phrase"))
@@ -38,4 +49,4 @@ def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p5_found, p5_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical)}
