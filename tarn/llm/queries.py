@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, lines, split
+from tarn.llm import canon, lines, reading, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,5 +48,19 @@ def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canon.canonicalize(_read(spark, sf, "documents")).select("doc_id", "canonical")
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(_read(spark, sf, "documents"), _read(spark, sf, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents of at least 100 words that are of the most demanding level."""
+    return _levels(spark, sf).filter("english AND n_words >= 100 AND reading_level = 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's reading level and what it comes from."""
+    return _levels(spark, sf)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical, p8_found, p8_levels)}
