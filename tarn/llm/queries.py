@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, lines, reading, split
+from tarn.llm import canon, encode, lines, reading, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,11 @@ def p5_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canon.canonicalize(_read(spark, sf, "documents")).select("doc_id", "canonical")
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's token ids by byte_bpe_50k."""
+    return encode.encode(_read(spark, sf, "documents"), keep=["doc_id"])
+
+
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(_read(spark, sf, "documents"), _read(spark, sf, "reading_labels"))
 
@@ -63,4 +68,4 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p8_found, p8_levels)}
