@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, encode, lines, reading, split
+from tarn.llm import canon, encode, knn, lines, reading, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,18 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.remove_repeated_lines(_read(spark, sf, "documents")).select("doc_id", "clean_text")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of a cosine of 0.90 or more of which one is among the five most similar of the other."""
+    pairs = knn.similar_pairs(_read(spark, sf, "chunks"), "chunk_no", "embedding")
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five chunks most similar to every twentieth chunk, of all chunks, however far they are."""
+    found = knn.nearest(_read(spark, sf, "chunks"), "chunk_no", "embedding", factor=knn.FAR_FACTOR, queries=lambda key: key % 20 == 0)
+    return found.select(F.col("query").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank_no"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every paragraph of a document and every stored chunk that exceeds the limit."""
     return split.oversized_units(_read(spark, sf, "documents"), _read(spark, sf, "chunks"))
@@ -68,4 +80,4 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p8_found, p8_levels)}
