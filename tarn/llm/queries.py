@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, encode, knn, lines, reading, split
+from tarn.llm import canon, encode, knn, lines, mix, reading, split
+from tarn.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,26 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(_read(spark, sf, "documents"), keep=["doc_id"])
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return mix.sized(_read(spark, sf, "documents"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed sources that cannot reach their share of a mix as large as all documents together."""
+    return mix.reach(_sizes(spark, sf), _read(spark, sf, "mix_targets")).filter("NOT reachable").select("source")
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix: which document stands where in which shard."""
+    return mix.mix(materialize(_sizes(spark, sf), "sizes"), _read(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    targets = _read(spark, sf, "mix_targets")
+    return mix.shares(mix.mix(materialize(_sizes(spark, sf), "sizes"), targets), targets)
+
+
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(_read(spark, sf, "documents"), _read(spark, sf, "reading_labels"))
 
@@ -80,4 +101,4 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
