@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import canon, encode, knn, lines, mix, reading, split
+from tarn.llm import canon, encode, knn, lines, mix, neardup, reading, split
 from tarn.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("query").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank_no"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents in one group of near-duplicates."""
+    return neardup.pairs_in_groups(materialize(neardup.groups(_read(spark, sf, "documents")), "groups"))
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the smallest number of its group of near-duplicates."""
+    return neardup.groups(_read(spark, sf, "documents")).withColumnRenamed("group", "group_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every paragraph of a document and every stored chunk that exceeds the limit."""
     return split.oversized_units(_read(spark, sf, "documents"), _read(spark, sf, "chunks"))
@@ -101,4 +111,4 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
