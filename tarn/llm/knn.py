@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.sampling import bounded_sample
 from tarn.storage import materialize
 
 DIM = 64
@@ -246,14 +247,14 @@ def nearest(
     """
     rows = unit_vectors(df, key, vector, dim)
     sizes = rows.groupBy("copy").agg(F.count("*").alias("n"))
-    stats = sizes.agg(F.sum("n"), F.count("*"), F.max("n")).first()
-    total, most = stats[0] or 0, stats[2] or 0
+    stats = sizes.agg(F.count("*").alias("kinds"), F.max("n").alias("most")).first()
+    most = stats["most"] or 0
     shards = MIN_SHARDS
-    while shards < MAX_SHARDS and (stats[1] or 0) > shards * SHARD_ROWS:
+    while shards < MAX_SHARDS and stats["kinds"] > shards * SHARD_ROWS:
         shards *= 2
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("copy").orderBy("id"))).filter(F.col("r") <= k + 1)
     kinds = materialize(first.groupBy("copy").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")).select("ids", "v"), "vector-kinds")
-    sampled = kinds.orderBy(F.xxhash64(F.col("ids")[0])).limit(min(MAX_SAMPLE, SAMPLE_PER_SHARD * shards)).select(F.col("ids")[0].alias("id"), "v").collect()
+    sampled = bounded_sample(kinds.select(F.col("ids")[0].alias("id"), "v"), ["id"], min(MAX_SAMPLE, SAMPLE_PER_SHARD * shards), stats["kinds"]).collect()
     own = F.lit(True) if queries is None else F.exists("ids", queries)
     found = _found(kinds.withColumn("asks", own), sampled, k, min_cosine, factor, shards, dim, queries is None and min_cosine > -1.0)
     one = F.lit(1.0)

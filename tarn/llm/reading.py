@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 from tarn.llm.canon import apply_sql, as_type
 from tarn.llm.duck import connect, map_text
+from tarn.llm.sampling import bounded_sample
 from tarn.storage import materialize, release, size_bytes
 
 #: A word is on list i if at least this share of the documents that have words use it.
 SHARES = (0.40, 0.15, 0.10, 0.05)
-#: Labelled rows, taken in an order of their hashes, that the weights are fitted on at most.
+#: Labelled rows, chosen by their hashes, that the weights are fitted on at most.
 MAX_LABELS = 20_000
 #: Bytes of the lists up to which they are broadcast. A list has at most 1 / share times as many words as a document has distinct ones on average.
 BROADCAST_BYTES = 32 << 20
@@ -170,7 +171,7 @@ def fit(x: np.ndarray, levels: np.ndarray) -> Formula:
 def fit_labels(featured: DataFrame, labels: DataFrame, key: str = "doc_id", level: str = "reading_level", max_labels: int = MAX_LABELS) -> Formula:
     """The formula's weights from graded English documents; every rater's grade counts by itself, null grades don't."""
     graded = labels.filter(F.col(level).isNotNull() & F.col(key).isNotNull()).select(key, F.col(level).alias("__level"))
-    sample = graded.orderBy(F.xxhash64(key, "__level"), key).limit(max_labels)
+    sample = bounded_sample(graded, [key], max_labels)
     columns = [*[f"unfamiliar_{i}" for i in range(len(SHARES))], "sentence_length"]
     known = featured.filter("english AND sentence_length IS NOT NULL")
     rows = known.join(F.broadcast(sample), key).select(*columns, "__level").collect()  # at most max_labels, doc_id being unique
