@@ -48,7 +48,11 @@ INVISIBLE = (
     r"\x{1bca0}-\x{1bca3}\x{1d173}-\x{1d17a}\x{e0000}-\x{e0fff}]+"
 )
 #: White space other than the line end, as Python's ``str.split`` takes it.
-SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    ⠀　"
+SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u2800\u3000"
+
+
+#: Characters that stand for several and are not rare.
+OFTEN = "…№½¼¾⅓⅔⅛⅜⅝⅞ﬀﬁﬂﬃﬄ™"
 
 
 def _quote(text: str) -> str:
@@ -56,7 +60,11 @@ def _quote(text: str) -> str:
 
 
 def _class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    """A regular expression's class of these characters, neighbours as ranges."""
+    points = sorted(map(ord, chars))
+    ends = [i for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    return "[" + "".join(f"\\x{{{points[i]:x}}}" + (f"-\\x{{{points[j]:x}}}" if j > i else "") for i, j in zip(starts, ends)) + "]"
 
 
 def _tidy(text: str) -> str:
@@ -98,39 +106,41 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def steps() -> list[str]:
-    """The embedded SQL, a projection of ``x`` a step."""
+def steps() -> tuple[list[str], str]:
+    """The embedded SQL, a projection of ``x`` a step, and an aggregate that tells whether the second step has anything to do."""
     common, rare, longer = tables()
-    often = [c for c in "…№½¼¾⅓⅔⅛⅜⅝⅞ﬀﬁﬂﬃﬄ™ªº" if c in longer]
-    seldom = {c: f for c, f in longer.items() if c not in often}
+    often = [c for c in OFTEN if c in longer]
+    seldom = [c for c in longer if c not in OFTEN]
     expand = "x"
     for c in often:
         expand = f"replace({expand}, {_quote(c)}, {_quote(longer[c])})"
     rare_map = f"translate(x, {_quote(''.join(rare))}, {_quote(''.join(rare.values()))})"
-    each = "list_transform(regexp_extract_all(x, '(?s).'), lambda c: coalesce(list_extract(map_extract(%s, c), 1), c))"
-    entries = "MAP { " + ", ".join(f"{_quote(k)}: {_quote(v)}" for k, v in seldom.items()) + " }"
-    return [
+    entries = "MAP { " + ", ".join(f"{_quote(c)}: {_quote(longer[c])}" for c in seldom) + " }"
+    each = f"list_transform(regexp_extract_all(x, '(?s).'), lambda c: coalesce(list_extract(map_extract({entries}, c), 1), c))"
+    steps = [
         f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(often)}') THEN {expand} ELSE x END AS x)",
-        f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(seldom)}') THEN list_reduce({each % entries}, lambda a, b: a || b) ELSE x END AS x)",
+        f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(seldom)}') THEN list_reduce({each}, lambda a, b: a || b) ELSE x END AS x)",
         f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(rare)}') THEN {rare_map} ELSE x END AS x)",
         f"SELECT * REPLACE (CASE WHEN u THEN translate(replace(x, chr(13) || chr(10), chr(10)), {_quote(''.join(common))}, {_quote(''.join(common.values()))}) ELSE replace(x, chr(9), ' ') END AS x)",
         f"SELECT * REPLACE (CASE WHEN u THEN regexp_replace(x, '{INVISIBLE}', '', 'g') ELSE x END AS x)",
         r"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '[\p{M}\x{1100}-\x{11ff}]') THEN nfc_normalize(x) ELSE x END AS x)",
     ]
+    return steps, f"bool_or(regexp_matches(x, '{_class(seldom)}'))"
 
 
 #: The form in which texts are compared: case folded, white space runs one space.
 MATCH_FORM = r"trim(regexp_replace(lower(x), '[ \n]+', ' ', 'g'))"
 
 
-def canonical_sql(table: str) -> str:
+def canonical_sql(table: str, seldom: bool = True) -> str:
     """SQL whose rows are those of ``table`` with the text column ``x`` in the one form.
 
     One subquery a step, as a step written into the next one's CASE would be evaluated twice. ``u``
-    tells whether a text has any character that the steps could change.
+    tells whether a text has any character that the steps could change. The step for seldom characters
+    that stand for several is long to parse; without ``seldom`` it is left out.
     """
     sql = rf"SELECT *, regexp_matches(x, '[^\x{{09}}\x{{0a}}\x{{20}}-\x{{7e}}]') AS u FROM {table}"
-    for step in steps():
+    for step in steps()[0] if seldom else steps()[0][:1] + steps()[0][2:]:
         sql = f"{step} FROM ({sql})"
     return f"SELECT * EXCLUDE (u) FROM ({sql})"
 
@@ -139,7 +149,8 @@ def apply_sql(db, batch: pa.RecordBatch, column: str, *expressions: str) -> list
     """The values of SQL expressions over ``x``, a batch's texts in the one form, row for row."""
     db.register("t", text_table(batch, column))
     try:
-        table = db.sql("SELECT k, " + ", ".join(f"{e} AS c{i}" for i, e in enumerate(expressions)) + f" FROM ({canonical_sql('t')}) ORDER BY k").to_arrow_table()
+        seldom = bool(db.execute(f"SELECT {steps()[1]} FROM t").fetchall()[0][0])
+        table = db.sql("SELECT k, " + ", ".join(f"{e} AS c{i}" for i, e in enumerate(expressions)) + f" FROM ({canonical_sql('t', seldom)}) ORDER BY k").to_arrow_table()
     finally:
         db.unregister("t")
     return [table.column(i + 1).combine_chunks() for i in range(len(expressions))]
