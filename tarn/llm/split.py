@@ -19,7 +19,7 @@ LIMIT = 200
 OVERLAP = 40
 
 # What Python's str.split takes as white space, for Java's regular expressions, with and without the line end.
-_BLANK = r"\t\x0B\x0C\r\x1C-\x1F \x85\xA0  -     　"
+_BLANK = r"\t\x0B\x0C\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"\n" + _BLANK
 
 #: Boundary strengths, weakest first: after a sentence, at a line, at a paragraph, at a heading.
