@@ -48,11 +48,10 @@ def embed(df: DataFrame, text: str = "text", output: str = "embedding", load: Ca
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = None
         for texts in batches:
-            known = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if known.any():
+            known = texts.dropna()
+            if len(known):
                 model = model or load()
-                out[known] = [v.astype(np.float32) for v in model(texts[known].tolist())]
-            yield out
+            vectors = iter(model(known.tolist()).astype(np.float32)) if len(known) else iter(())
+            yield pd.Series([None if text is None else next(vectors) for text in texts], dtype=object)
 
     return df.withColumn(output, vector(F.col(text)))
