@@ -26,7 +26,7 @@ from tarn.storage import materialize
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Blocks of one source at most; a source of fewer documents has a block for about each of them.
+#: Blocks of one source at most (fewer where there are more than 16 sources); most blocks of a source of far fewer documents hold one.
 MAX_BLOCKS = 4096
 #: Rows of the table of targets at most: one a source, planned on the driver.
 MAX_SOURCES = 100_000
@@ -144,7 +144,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
 
     Each listed source gives its share of ``total`` tokens (all documents together by default) or, where
     ``max_repeats`` doesn't allow it, all it can; the tokens it gives miss that quota by at most half a
-    block's. Blocks hold one document each until a source has more than ``MAX_BLOCKS``. Sources that
+    block's, which is a document or a few until a source has more than ``MAX_BLOCKS``. Sources that
     aren't listed give nothing. Equal seeds give equal mixes. Documents of no tokens are taken along with
     their blocks. Duplicate rows are documents of their own. Empty tables give an empty mix.
     """
@@ -154,7 +154,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = list({r["__site"]: r for r in sorted(rows, key=lambda r: (r["__site"] or "", r["quota"]))}.values())
     counts = sizes.sparkSession.createDataFrame(
-        pd.DataFrame({"site": [r["__site"] for r in rows], "blocks": [max(1, min(r["documents"], max(64, MAX_BLOCKS * 16 // max(16, len(rows))))) for r in rows]}), "site string, blocks long"
+        pd.DataFrame({"site": [r["__site"] for r in rows], "blocks": [max(1, min(4 * r["documents"], max(64, 16 * MAX_BLOCKS // max(16, len(rows))))) for r in rows]}), "site string, blocks long"
     )
     placed = sizes.join(F.broadcast(counts), "site").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("blocks")))
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}

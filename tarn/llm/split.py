@@ -27,7 +27,8 @@ SENTENCE, LINE, PARAGRAPH, HEADING = 1, 2, 3, 4
 
 _WORD = re.compile(r"\S+")
 _HEADING = re.compile(r"#{1,6}\s")
-_ENDS = re.compile(r"[.!?。！？][\"'”’)\]»]*$")
+_SENTENCE_END = re.compile(r"[.!?。！？][\"'”’)\]»]*(?=\s)")
+_LINE_GAP = re.compile(r"\s*\n\s*")
 
 
 def word_count(text: Column) -> Column:
@@ -42,17 +43,14 @@ def paragraphs(text: Column) -> Column:
 
 def strengths(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """How natural a cut before each word is; 0 where it is not."""
-    out = np.zeros(len(starts), dtype=np.int8)
-    for i in range(1, len(starts)):
-        between = text[ends[i - 1] : starts[i]]
-        if "\n" in between:
-            if text[starts[i]] == "#" and _HEADING.match(text, starts[i]):
-                out[i] = HEADING
-            else:
-                out[i] = PARAGRAPH if between.count("\n") > 1 else LINE
-        elif text[ends[i - 1] - 1] in ".!?。！？\"'”’)]»" and _ENDS.search(text, max(starts[i - 1], ends[i - 1] - 8), ends[i - 1]):
-            out[i] = SENTENCE
-    return out
+    out = np.zeros(len(starts) + 1, dtype=np.int8)
+    sentences = np.array([m.end() for m in _SENTENCE_END.finditer(text)], dtype=np.int64)
+    out[np.searchsorted(ends, sentences) + 1] = SENTENCE
+    for gap in _LINE_GAP.finditer(text):
+        i = int(np.searchsorted(starts, gap.end()))
+        out[i] = HEADING if _HEADING.match(text, gap.end()) else PARAGRAPH if gap.group().count("\n") > 1 else LINE
+    out[0] = 0
+    return out[: len(starts)]
 
 
 def cuts(n: int, strength: np.ndarray, limit: int, overlap: int) -> list[int]:
