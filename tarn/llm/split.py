@@ -25,10 +25,10 @@ _SPACE = r"\n" + _BLANK
 #: Boundary strengths, weakest first: after a sentence, at a line, at a paragraph, at a heading.
 SENTENCE, LINE, PARAGRAPH, HEADING = 1, 2, 3, 4
 
-_WORD = re.compile(r"\S+")
 _HEADING = re.compile(r"#{1,6}\s")
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’)\]»]*(?=\s)")
-_LINE_GAP = re.compile(r"\s*\n\s*")
+_LINE_GAP = re.compile(r"\n\s*")
+_IS_SPACE = np.array([chr(point).isspace() for point in range(0x3001)])  # there is no white space beyond
 
 
 def word_count(text: Column) -> Column:
@@ -86,11 +86,14 @@ def cuts(n: int, strength: np.ndarray, limit: int, overlap: int) -> list[int]:
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
     """The pieces of one text: ``(text, first word, number of words)``; none of a text without words."""
-    spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
-    n = len(spans)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, dtype=np.int8)
+    inside[1:-1] = ~_IS_SPACE[np.minimum(points, 0x3000)] | (points > 0x3000)
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    n = len(starts)
     if not n:
         return []
-    starts, ends = spans[:, 0], spans[:, 1]
     out, start = [], 0
     for end in cuts(n, strengths(text, starts, ends) if n > limit else np.zeros(n, dtype=np.int8), limit, overlap):
         out.append((text[starts[start] : ends[end - 1]], start, end - start))
