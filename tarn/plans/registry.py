@@ -7,7 +7,6 @@ as no text model is at hand, a question's vector is the row of ``embeddings`` wi
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,7 +127,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk log streamed into a store from its files."""
     path, schema = f"{sf}/chunks.parquet", read(spark, sf, "chunks").schema
     folder, pattern = (path, "*.parquet") if os.path.isdir(path) else (sf, "chunks.parquet")
-    base = tempfile.mkdtemp(prefix="stream-") if "://" not in shared_dir(spark) else f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
     target = ChunkStore(spark, f"{base}/store")
     upsert_stream(spark, folder, schema, target, f"{base}/checkpoint", pattern)
     return target.read().select("chunk_id", *_long("chunk_index"), F.md5("text").alias("text_md5"))
