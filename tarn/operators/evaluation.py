@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.config import DEFAULTS, Config
 from tarn.functions.text import answer_is_correct, cost_usd, is_refusal
+from tarn.operators import answering, retrieval
 
 
 def grades(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -44,3 +48,32 @@ def answer_metrics(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
 def mean_seconds(timings: DataFrame, seconds: str = "seconds") -> DataFrame:
     """One row: the mean of timed questions, 0.0 of none."""
     return timings.agg(F.coalesce(F.avg(seconds), F.lit(0.0)).alias("avg_seconds_per_query"))
+
+
+def evaluate(corpus: DataFrame, questions: DataFrame, config: Config = DEFAULTS, mode: str | None = None, client: Callable = answering.first_excerpt_client, dim: int = 64) -> DataFrame:
+    """One row: a question set answered from a corpus and measured, retrieval by the mode that answers.
+
+    Hits are counted over questions that expect documents, refusals over unanswerable ones, answers over all.
+    """
+    tiered = retrieval.retrieve(corpus, questions, config, mode, dim=dim)
+    answers = answering.ask(tiered, questions, client).withColumnRenamed("usage", "token_usage")
+    graded = grades(answers, questions)
+    ranked = retrieval.RANKERS[mode or config.retrieval_mode](corpus, questions, config.raw_fetch_k, config, dim)
+    hits = retrieval_hits(retrieval.first_documents(ranked), questions).agg(F.count("*").alias("retrieval_graded"), _count(F.col("top1")).alias("top1_hits"), _count(F.col("top5")).alias("top5_hits"))
+    both = graded.agg(F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("avg_seconds_per_query"))
+    return answer_metrics(graded).crossJoin(hits).crossJoin(both).na.fill(0)  # one row each
+
+
+def report(row: dict) -> list[str]:
+    """The lines that a run of ``evaluate`` is shown as."""
+    share = lambda part, whole: f"({round(100 * part / whole)}%)" if whole else "(n/a)"
+    total, graded = row["total"], row["retrieval_graded"]
+    return [
+        f"Questions: {total}",
+        f"First document expected: {row['top1_hits']}/{graded} {share(row['top1_hits'], graded)}",
+        f"One of five expected: {row['top5_hits']}/{graded} {share(row['top5_hits'], graded)}",
+        f"Answers correct: {row['answer_hits']}/{total} {share(row['answer_hits'], total)}",
+        f"Refused correctly: {row['refusal_hits']}/{row['unanswerable_total']}",
+        f"Cost: ${row['cost_usd']:.4f}, ${row['cost_usd'] / total if total else 0:.5f} a question",
+        f"Time: {row['avg_seconds_per_query']:.2f} seconds a question, without pauses",
+    ]

@@ -126,3 +126,33 @@ def test_cli_output_and_loop():
     assert Config.from_env({"TARN_TOP_K": "9", "TARN_RETRIEVAL_MODE": "hybrid"}).top_k == 9
     with pytest.raises(ValueError):
         Config.from_env({"TARN_TOP_K": "x"})
+
+
+def test_pacing_and_timing(spark):
+    waits, load = [], answering.paced(says("x"), 5.0, lambda s: waits.append(s))
+    client = load()
+    for _ in range(3):
+        client.before()
+        client("s", "p")
+    assert waits == [5.0, 5.0]
+    rows = [(1, "u", "T", 0, "x", 1, "accepted")]
+    got = {r["question_id"]: r["seconds"] for r in answering.ask(tiered(spark, rows), asked(spark, 1, 2), says("Fact [1].")).collect()}
+    assert got[2] == 0.0 and 0 <= got[1] < 5
+
+
+def test_whole_evaluation(spark):
+    corpus = spark.createDataFrame(
+        [(1, "u1", "A", 0, "tigers live in 1939", [1.0, 0.0]), (2, "u2", "B", 0, "kale", [0.0, 1.0])],
+        "chunk_no long, document_url string, document_title string, chunk_index int, text string, embedding array<float>",
+    )
+    questions = spark.createDataFrame(
+        [(1, "tigers", ["u1"], ["1939"], "single", [1.0, 0.1]), (2, "kale?", [], [], "unanswerable", [-1.0, -1.0]), (3, "kale", ["u1"], ["no"], "single", [0.0, 1.0])],
+        "question_id long, question string, expect_article_ids array<string>, must_contain array<string>, type string, embedding array<float>",
+    )
+    row = evaluation.evaluate(corpus, questions, dim=2).first().asDict()
+    assert (row["total"], row["retrieval_graded"], row["top1_hits"], row["top5_hits"]) == (3, 2, 1, 2)
+    assert (row["answer_hits"], row["unanswerable_total"], row["refusal_hits"]) == (2, 1, 1)
+    lines = evaluation.report(row)
+    assert lines[1] == "First document expected: 1/2 (50%)" and lines[3] == "Answers correct: 2/3 (67%)"
+    empty = evaluation.evaluate(corpus, questions.limit(0), dim=2).first()
+    assert (empty["total"], empty["retrieval_graded"], empty["avg_seconds_per_query"]) == (0, 0, 0.0)
