@@ -19,26 +19,30 @@ def _forms(columns: str, text: str, table: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     words = lambda x: f"len(list_filter(regexp_split_to_array({x}, '[{_WS}]+'), lambda w: w <> ''))"
-    return {
-        "p1_found": rf"""WITH d AS (SELECT doc_id, regexp_replace(lower(regexp_extract(url, '://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\.', '') AS site, x FROM ({_forms("doc_id, url", "text", "documents")})),
-            l AS (SELECT doc_id, site, unnest(string_split(x, chr(10))) AS line, unnest(string_split({LETTERS}, chr(10))) AS key, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS line_no FROM d WHERE x IS NOT NULL),
+    lines = rf"""WITH d AS (SELECT doc_id, text, regexp_replace(lower(regexp_extract(url, '://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\.', '') AS site, x FROM ({_forms("doc_id, url, text", "text", "documents")})),
+            l AS (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS raw, unnest(string_split(x, chr(10))) AS line, unnest(string_split({LETTERS}, chr(10))) AS key,
+                generate_subscripts(string_split(x, chr(10)), 1) - 1 AS line_no FROM d WHERE x IS NOT NULL),
             s AS (SELECT site, count(*) AS n FROM d GROUP BY site),
-            f AS (SELECT site, key FROM l JOIN s USING (site) WHERE trim(line) <> '' GROUP BY site, key, n HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) * 10 >= n)
-            SELECT doc_id, line_no::BIGINT AS line_no FROM l JOIN f USING (site, key) WHERE trim(line) <> ''""",
-        "p2_found": """WITH v AS (SELECT chunk_no, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM chunks WHERE len(embedding) = 64),
-            u AS (SELECT chunk_no, e FROM v WHERE list_dot_product(e, e) > 0),
-            p AS (SELECT a.chunk_no AS a, b.chunk_no AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM u a JOIN u b ON a.chunk_no <> b.chunk_no AND list_cosine_similarity(a.e, b.e) >= 0.9),
-            r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p)
-            SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE n <= 5""",
-        "p3_found": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM ({_forms("doc_id", "coalesce(title, '') || chr(10) || text", "documents")})),
+            f AS (SELECT site, key FROM l JOIN s USING (site) WHERE trim(line) <> '' GROUP BY site, key, n HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) * 10 >= n)"""
+    groups = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM ({_forms("doc_id", "coalesce(title, '') || chr(10) || text", "documents")})),
             t AS (SELECT doc_id FROM ({_forms("doc_id", "text", "documents")}) WHERE len(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+')) >= 20),
             g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) AS s FROM d SEMI JOIN t USING (doc_id)),
             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
             e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6e0 * (x.n + y.n - c) - 1e-9),
             ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-            r AS (SELECT a, b FROM ends UNION SELECT r.a, ends.b FROM r JOIN ends ON r.b = ends.a)
-            SELECT a AS doc_a, b AS doc_b FROM r WHERE a < b""",
+            r AS (SELECT a, b FROM ends UNION SELECT r.a, ends.b FROM r JOIN ends ON r.b = ends.a)"""
+    return {
+        "p1_found": f"{lines} SELECT doc_id, line_no::BIGINT AS line_no FROM l JOIN f USING (site, key) WHERE trim(line) <> ''",
+        "p1_clean": f"""{lines}, k AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS clean FROM l WHERE trim(line) = '' OR NOT EXISTS (FROM f WHERE f.site = l.site AND f.key = l.key) GROUP BY doc_id)
+            SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(clean, '') END AS clean_text FROM documents LEFT JOIN k USING (doc_id)""",
+        "p2_found": """WITH v AS (SELECT chunk_no, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM chunks WHERE len(embedding) = 64),
+            u AS (SELECT chunk_no, e FROM v WHERE list_dot_product(e, e) > 0),
+            p AS (SELECT a.chunk_no AS a, b.chunk_no AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM u a JOIN u b ON a.chunk_no <> b.chunk_no AND list_cosine_similarity(a.e, b.e) >= 0.9),
+            r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p)
+            SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE n <= 5""",
+        "p3_found": f"{groups} SELECT a AS doc_a, b AS doc_b FROM r WHERE a < b",
+        "p3_groups": f"{groups} SELECT doc_id, CASE WHEN t.doc_id IS NOT NULL THEN least(doc_id, coalesce(m, doc_id)) ELSE -1 END AS group_id FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)",
         "p4_found": rf"""WITH u AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n(?:[{_BLANK}]*\n)+'), lambda p: regexp_matches(p, '[^{_WS}]')) AS ps FROM documents WHERE text IS NOT NULL),
             r AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS i FROM u)
             SELECT 'document' AS item_kind, doc_id AS item_key, i::BIGINT AS unit_no FROM r WHERE {words("p")} > 200

@@ -45,8 +45,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with the smallest number of its group of near-duplicates."""
-    return neardup.groups(_read(spark, sf, "documents")).withColumnRenamed("group", "group_id")
+    """Every document with the smallest number of its group of near-duplicates, -1 if it takes no part."""
+    return neardup.groups(_read(spark, sf, "documents")).select("doc_id", F.coalesce("group", F.lit(-1)).alias("group_id"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
