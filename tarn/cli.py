@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarn.config import Config
 from tarn.operators import answering, retrieval
 from tarn.operators.embedding import embed, hashing_model
+from tarn.shipping import ship
 from tarn.sources.store import ChunkStore
 
 
@@ -50,6 +51,7 @@ def main(argv: list[str] | None = None) -> None:
     if not argv:
         sys.exit(__doc__)
     spark, config = SparkSession.builder.appName("tarn").getOrCreate(), Config.from_env()
+    ship(spark)
     corpus = ChunkStore(spark, argv[0]).read().withColumn("chunk_no", F.monotonically_increasing_id()).cache()
     client = (lambda: answering.http_client(config)) if config.llm_key else answering.first_excerpt_client
     answer = lambda question: ask_one(spark, corpus, question, config, client)
