@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.duck import slices
+
 LIMIT = 200
 OVERLAP = 40
 
@@ -84,23 +86,34 @@ def cuts(n: int, strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     return [*(int(overlap + (n - overlap) * i / least) for i in range(1, least)), n]
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
-    """The pieces of one text: ``(text, first word, number of words)``; none of a text without words."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.zeros(len(points) + 2, dtype=np.int8)
-    inside[1:-1] = ~_IS_SPACE[np.minimum(points, 0x3000)] | (points > 0x3000)
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, firsts)`` of the words of several texts: places within their own text, and where each text's words begin and end."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 1, dtype=np.int8)
+    inside[1:] = ~_IS_SPACE[np.minimum(points, 0x3000)] | (points > 0x3000)
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    firsts = np.searchsorted(starts, begins)
+    shift = np.repeat(begins[:-1], np.diff(firsts))
+    return starts - shift, ends - shift, firsts
+
+
+def _cut(text: str, starts: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[tuple[str, int, int]]:
     n = len(starts)
-    if not n:
-        return []
     out, start = [], 0
-    for end in cuts(n, strengths(text, starts, ends) if n > limit else np.zeros(n, dtype=np.int8), limit, overlap):
+    for end in cuts(n, strengths(text, starts, ends), limit, overlap) if n > limit else [n] * (n > 0):
         out.append((text[starts[start] : ends[end - 1]], start, end - start))
         start = end - overlap
     return out
 
 
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
+    """The pieces of one text: ``(text, first word, number of words)``; none of a text without words."""
+    starts, ends, _ = word_spans([text])
+    return _cut(text, starts, ends, limit, overlap)
+
+
 PIECE = [
     T.StructField("chunk_index", T.LongType()),
     T.StructField("n_pieces", T.LongType()),
@@ -121,7 +134,7 @@ def split_items(items: DataFrame, keys: list[str], text: str = "text", limit: in
     No piece exceeds ``limit`` words; consecutive pieces share exactly ``overlap`` words; dropping the
     first ``overlap`` words of every piece but the first gives the item's words again. A piece is the
     stretch of the text from its first word to its last, line ends included. Items within the limit are
-    one piece and never leave the JVM; with ``oversized_only`` they are left out.
+    one piece; with ``oversized_only`` they are left out.
 
     Null texts and texts without words give no piece. Each of several equal rows gives its own pieces.
     Texts of any length are cut; one long "word" counts as one. Only ``keys`` are carried along, so other
@@ -132,15 +145,18 @@ def split_items(items: DataFrame, keys: list[str], text: str = "text", limit: in
     if clash:
         raise ValueError(f"key columns are named like columns of the result: {sorted(clash)}")
     rows = items.select(*[F.col(f"`{k}`") for k in keys], F.col(text).alias("__text"))
-    # a text of fewer than 2 * limit + 1 characters has at most limit words; longer ones are counted
-    size = F.when(F.length("__text") <= 2 * limit, F.lit(0)).otherwise(word_count(F.col("__text")))
+    # a text of fewer than 2 * limit + 1 characters has at most limit words and never leaves the JVM
+    long = F.length("__text") > 2 * limit
     schema = T.StructType([rows.schema[k] for k in keys] + PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__text"):
             taken, pieces = [], []
-            for row, value in enumerate(batch.column("__text").to_pylist()):
-                cut = split_text(value, limit, overlap)
+            texts = batch.column("__text").to_pylist()
+            starts, ends, firsts = word_spans(texts)
+            for row in np.flatnonzero(np.diff(firsts) > (limit if oversized_only else 0)):
+                own = slice(firsts[row], firsts[row + 1])
+                cut = _cut(texts[row], starts[own], ends[own], limit, overlap)
                 taken += [row] * len(cut)
                 pieces += [(i, len(cut), start, n, piece) for i, (piece, start, n) in enumerate(cut)]
             columns = list(zip(*pieces)) if pieces else [[]] * len(PIECE)
@@ -149,11 +165,11 @@ def split_items(items: DataFrame, keys: list[str], text: str = "text", limit: in
                 [batch.column(k).take(pa.array(taken, pa.int64())) for k in keys] + [pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, *[f.name for f in PIECE]]
             )
 
-    out = rows.filter(size > limit).mapInArrow(run, schema)
+    out = rows.filter(long).mapInArrow(run, schema)
     if oversized_only:
         return out
     ends = rf"^[{_SPACE}]+|[{_SPACE}]+$"
-    within = rows.filter(size <= limit).withColumn("__n", word_count(F.col("__text")).cast("long")).filter("__n > 0")
+    within = rows.filter(~long).withColumn("__n", word_count(F.col("__text")).cast("long")).filter("__n > 0")
     one = F.lit(1).cast("long")
     zero = F.lit(0).cast("long")
     whole = within.select(
