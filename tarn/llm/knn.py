@@ -131,8 +131,9 @@ class Best:
 def search(x: np.ndarray, points: np.ndarray, asking: np.ndarray, answering: np.ndarray, best: Best, factor: float, seed: int = 11) -> None:
     """Search the tree over ``x[points]`` for all rows ``asking``; found neighbours go to ``best``.
 
-    Rows for which ``answering`` holds also learn of the rows that ask them. The tree is built on the
-    way down, so a subtree's points and the searches that enter it are in hand at the same time.
+    Rows for which ``answering`` holds also learn of the rows that ask them, so a search enters a subtree
+    as long as its own row or an answering row there may gain by it. The tree is built on the way down,
+    so a subtree's points and the searches that enter it are in hand at the same time.
     """
     rng = np.random.default_rng(seed)
     stack = [(points, asking)]
@@ -153,11 +154,13 @@ def search(x: np.ndarray, points: np.ndarray, asking: np.ndarray, answering: np.
             continue
         if best.count > 100_000:
             best.settle()
-        reach = np.sqrt(np.maximum(2.0 - 2.0 * best.floor[rows], 0.0)) / factor
         from_vantage = _distances(x[rows], vantage)
         low, high = float(d[inside].max()), float(d[~inside].min())
-        stack.append((node[~inside], rows[high - from_vantage <= reach + 1e-6]))
-        stack.append((node[inside], rows[from_vantage - low <= reach + 1e-6]))
+        for part, gap in ((node[~inside], high - from_vantage), (node[inside], from_vantage - low)):
+            learning = part[answering[part]]
+            floor = best.floor[rows] if not len(learning) else np.minimum(best.floor[rows], best.floor[learning].min())
+            reach = np.sqrt(np.maximum(2.0 - 2.0 * floor, 0.0)) / factor
+            stack.append((part, rows[gap <= reach + 1e-6]))
 
 
 def _leaf(x: np.ndarray, node: np.ndarray, rows: np.ndarray, answering: np.ndarray, best: Best) -> None:
@@ -328,6 +331,7 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
         here = np.flatnonzero(home)
         quiet = np.zeros(len(x), bool)
         search(x, here, np.flatnonzero(home & asks), quiet, best, factor)
+        best.settle()
         search(x, here, np.flatnonzero(~home), answering, best, factor)
         best.settle()
         row, rank = np.nonzero(best.neighbour >= 0)

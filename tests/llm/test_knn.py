@@ -36,6 +36,23 @@ def test_factor_one_is_exact(spark, small):
     assert pairs == {(min(i, j), max(i, j)) for i in want for j in want[i] if s[i, j] >= 0.9}
 
 
+def test_factor_one_is_exact_about_dense_groups(spark, small):
+    """Rows far from a dense group must meet rows of it that have their neighbours already and come from another shard."""
+    rng = np.random.default_rng(1)
+    away = rng.normal(size=(1000, 8))
+    away[:, 0] = 0
+    away *= rng.uniform(0.25, 0.6, size=(1000, 1)) / np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.float32(np.eye(8)[0] + np.concatenate([rng.normal(size=(8000, 8)) * 0.05, away]))
+    got = {(r["a"], r["b"]) for r in knn.similar_pairs(table(spark, x), "chunk_no", "embedding", min_cosine=0.9, factor=1.0, dim=8).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    fifth = -np.partition(-s, 4, axis=1)[:, 4]
+    i, j = np.nonzero((s >= fifth[:, None] + 2e-6) & (s >= 0.9 + 2e-6))  # ties within float32 aside
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} <= got
+    assert all(s[a, b] >= min(fifth[a], fifth[b]) - 2e-6 for a, b in got)
+
+
 def test_copies_ties_and_unusable_rows(spark, small):
     base = np.float32([[1, 0, 0, 0], [0, 1, 0, 0], [0.6, 0.8, 0, 0]])
     rows = [(i, [float(v) * (1 + i) for v in base[0]]) for i in range(20)] + [(100 + i, [float(v) for v in base[1]]) for i in range(3)] + [(200, [0.6, 0.8, 0.0, 0.0])]
