@@ -124,10 +124,11 @@ def _plan(targets: list, blocks: dict[str, tuple[np.ndarray, np.ndarray]], shard
         numbers, tokens = blocks.get(row["__site"], (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         have = int(tokens.sum())
         order = rng.permutation(len(numbers))
-        full = min(int(row["quota"] // have), row["max_repeats"] or 0) if have else 0
+        repeats = max(0, row["max_repeats"] or 0)
+        full = min(int(row["quota"] // have), repeats) if have else 0
         # whole rounds of all blocks, then the stretch of one more round that comes nearest to the quota
         ends = np.concatenate([[0], np.cumsum(tokens[order])])
-        extra = int(np.abs(ends - (row["quota"] - full * have)).argmin()) if full < (row["max_repeats"] or 0) else 0
+        extra = int(np.abs(ends - (row["quota"] - full * have)).argmin()) if full < repeats else 0
         copies = np.concatenate([np.tile(order, full), order[:extra]]).astype(np.int64)
         number = np.concatenate([np.repeat(np.arange(full), len(order)), np.full(extra, full)])
         mixed = rng.permutation(len(copies))
@@ -181,3 +182,16 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"),
                 F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
     )
+
+
+def short(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """The rows of ``reach`` whose sources get less than their share in ``mixed``, the mix of these tables, and can't get it; ``given`` says how many tokens they get.
+
+    A mix misses a quota by up to half a block, so what falls short in it is checked exactly by ``reach``.
+    A source that can't reach its share gives all its documents ``max_repeats`` times, so none is missed.
+    Of a source listed twice the rows have one number of tokens between them, and ``reach`` alone decides.
+    """
+    sums = mixed.groupBy(F.col("source").alias("__site")).agg(F.sum("tokens").alias("given"))
+    rows = reach(sizes, targets, total).withColumn("__listed", F.count("*").over(W.partitionBy("__site"))).join(sums, "__site", "left")
+    rows = rows.withColumn("given", F.coalesce("given", F.lit(0)))
+    return rows.filter(~F.col("reachable") & ((F.col("given") < F.col("wanted")) | (F.col("__listed") > 1))).drop("__listed")

@@ -81,8 +81,10 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Listed sources that cannot reach their share of a mix as large as all documents together."""
-    return mix.reach(_sizes(spark, sf), _read(spark, sf, "mix_targets")).filter("NOT reachable").select("source")
+    """Listed sources that cannot reach their share of a mix as large as all documents together, from that mix."""
+    sizes, targets = materialize(_sizes(spark, sf), "sizes"), _read(spark, sf, "mix_targets")
+    mixed = materialize(mix.mix(sizes, targets), "mix")  # written whole: of a plan that goes on, the shuffle of shards would be pruned
+    return mix.short(mixed, sizes, targets).select("source")
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from tarn.llm import mix
+from tarn.llm import mix, queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(mix.TOKENIZERS), reason="no vocabularies")
 
@@ -40,6 +40,27 @@ def test_mix_meets_quotas(spark):
     assert mix.mix(table.limit(0), targets).count() == 0 and mix.mix(table, targets.limit(0)).count() == 0
 
 
+def test_found_comes_from_the_mix(spark, testdata, monkeypatch):
+    divided, written = [], {}
+    tree, keep = mix.hypergeometric_tree, queries.materialize
+    monkeypatch.setattr(mix, "hypergeometric_tree", lambda *a: divided.append(tree(*a)) or divided[-1])
+    monkeypatch.setattr(queries, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    got = sorted(r["source"] for r in queries.p7_found(spark, testdata).collect())
+    assert len(divided) == 1 and written["mix"].count() >= divided[0].sum() > 0 and "position" in written["mix"].columns  # a block holds a document or a few
+    targets = spark.read.parquet(f"{testdata}/mix_targets.parquet")
+    assert got == sorted(r["source"] for r in mix.reach(written["sizes"], targets).filter("NOT reachable").collect())
+
+
+def test_short_sources_are_those_out_of_reach(spark):
+    table = sizes(spark, {"a": 60, "b": 30, "c": 10, "e": 7}, tokens=11)
+    targets = spark.createDataFrame([("a", 0.401, 1), ("WWW.B", 0.3, 2), ("b", 0.7, 2), ("none", 0.1, 9), ("c", 0.2, -1), ("e", 0.07, None), (None, 0.1, 1), (None, None, 1), ("f", 0.0, -1)], TARGET)
+    got = {(r["source"], r["target_share"], r["given"]) for r in mix.short(mix.mix(table, targets), table, targets).collect()}
+    out = {(r["source"], r["target_share"]) for r in mix.reach(table, targets).filter("NOT reachable").collect()}
+    assert {g[:2] for g in got} == out == {("b", 0.7), ("none", 0.1), ("c", 0.2), ("e", 0.07), (None, 0.1)}
+    assert all(given == 0 for source, _, given in got if source != "b")
+    assert mix.short(mix.mix(table.limit(0), targets), table.limit(0), targets).count() == 0
+
+
 def test_tree_divides_exactly():
     rng = np.random.default_rng(1)
     quotas = np.array([1000, 1, 0, 37])
