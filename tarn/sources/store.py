@@ -17,6 +17,9 @@ from tarn.functions.text import chunk_id
 
 SCHEMA = "chunk_id string, document_url string, document_title string, chunk_index int, text string, embedding array<float>"
 COLUMNS = ["chunk_id", "document_url", "document_title", "chunk_index", "text", "embedding"]
+#: What orders the writes of a log; stored beside the chunks, null for writes that don't come from a log.
+ORDER = {"ingested_at": "timestamp", "chunk_no": "long"}
+STORED = ", ".join([SCHEMA, *(f"{name} {kind}" for name, kind in ORDER.items())])
 
 
 def last_writes(log: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ("ingested_at", "chunk_no")) -> DataFrame:
@@ -56,17 +59,17 @@ class ChunkStore:
     def create(self) -> None:
         """Make an empty store where there is none; does nothing otherwise."""
         if self._version() is None:
-            self._switch(self.spark.createDataFrame([], SCHEMA))
+            self.clear()
 
     def clear(self) -> None:
-        self._switch(self.spark.createDataFrame([], SCHEMA))
+        self._switch(self.spark.createDataFrame([], STORED))
 
     def _switch(self, chunks: DataFrame) -> None:
         before = self._version()
         names = [s.getPath().getName() for s in self._fs().listStatus(self._path(""))] if self._fs().exists(self._path("")) else []
         number = max([int(n.split("-")[1]) for n in names if n.startswith("current-")], default=0) + 1
         version = uuid.uuid4().hex
-        chunks.select(*COLUMNS).write.parquet(f"{self.path}/data-{version}")
+        chunks.select(*COLUMNS, *ORDER).write.parquet(f"{self.path}/data-{version}")
         self._fs().create(self._path(f"current-{number:08d}-{version}")).close()  # from here on readers see it
         for name in names:
             if name.startswith("current-") or before and name == f"data-{before}":
@@ -74,10 +77,14 @@ class ChunkStore:
 
     def read(self) -> DataFrame:
         """All stored chunks; only the columns that are used are read."""
+        return self._stored().select(*COLUMNS)
+
+    def _stored(self) -> DataFrame:
+        """All stored chunks with the columns ``ORDER``; null in versions written without them."""
         version = self._version()
         if version is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data-{version}")
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(f"{self.path}/data-{version}")
 
     def count(self) -> int:
         return self.read().count()
@@ -85,16 +92,35 @@ class ChunkStore:
     def insert(self, records: DataFrame, replace_documents: bool = False) -> None:
         """Upsert chunk records by key; a table without rows touches nothing. Of a key written twice in ``records`` one row is kept.
 
-        Chunks of a document beyond its new end stay unless ``replace_documents``.
+        Chunks of a document beyond its new end stay unless ``replace_documents``. Stored rows are replaced
+        whenever they were written; the new ones have no place in a log, so any write of a log replaces them.
         """
-        new = records.withColumn("chunk_id", chunk_id(F.col("document_url"), F.col("chunk_index"))).select(*COLUMNS)
-        new = last_writes(new, order=("text",))
+        new = last_writes(_columns(records, in_order=False), order=("text",))
         if new.isEmpty():
             return
-        existing = self.read()
+        existing = self._stored()
         self._switch(upsert(without_stale(existing, new) if replace_documents else existing, new))
 
+    def insert_log(self, records: DataFrame) -> None:
+        """Upsert records of a log, which have the columns ``chunk_id`` and ``ORDER`` too: a write replaces only a stored row that isn't later.
+
+        So the store is the same however the log is divided into inserts. Nulls in ``ORDER`` come first; of
+        writes that agree in it the one with the greatest text is kept. Records without a ``chunk_id`` are
+        left out; a table without others touches nothing.
+        """
+        records = records.filter("chunk_id IS NOT NULL")
+        if records.isEmpty():
+            return
+        existing, keys = self._stored(), _columns(records, in_order=True).select("chunk_id")
+        written = existing.join(keys, "chunk_id", "left_semi").unionByName(_columns(last_writes(records), in_order=True))
+        self._switch(existing.join(keys, "chunk_id", "left_anti").unionByName(last_writes(written, order=(*ORDER, "text"))))
+
     def replace(self, records: DataFrame) -> None:
         """Make ``records`` the whole store."""
-        new = records.withColumn("chunk_id", chunk_id(F.col("document_url"), F.col("chunk_index"))).select(*COLUMNS)
-        self._switch(last_writes(new, order=("text",)))
+        self._switch(last_writes(_columns(records, in_order=False), order=("text",)))
+
+
+def _columns(records: DataFrame, in_order: bool) -> DataFrame:
+    """The stored columns of ``records``; those of ``ORDER`` null unless ``in_order``."""
+    order = [(F.col(name) if in_order else F.lit(None)).cast(kind).alias(name) for name, kind in ORDER.items()]
+    return records.withColumn("chunk_id", chunk_id(F.col("document_url"), F.col("chunk_index"))).select(*COLUMNS, *order)

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.sources.store import ChunkStore, last_writes
+from tarn.sources.store import ChunkStore
 
 
 def upsert_stream(spark: SparkSession, folder: str, schema: StructType, store: ChunkStore, checkpoint: str, pattern: str = "*.parquet", files_per_batch: int = 100):
     """Read chunk records from Parquet files as they appear and upsert each batch; returns the query after all present files.
 
-    Within a batch the last write of a key wins; batches come in the order of the files' times. A batch that
-    is run again after a failure writes the same rows again, so the store ends up the same.
+    The last write of a key by ``(ingested_at, chunk_no)`` wins, whatever files and batches the writes come
+    in. A batch that is run again after a failure writes the same rows again, so the store ends up the same.
     """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, _: int) -> None:
-        store.insert(last_writes(batch))
+        store.insert_log(batch)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 from functools import partial
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -130,6 +131,30 @@ def test_stream_upserts(spark, tmp_path):
         assert [r["text"] for r in store.read().collect()] == ["new"]
 
 
+def test_streamed_late_writes_replace_nothing_newer(spark, tmp_path):
+    stamps = [("timestamp'2024-01-02'", 5, "new"), ("timestamp'2024-01-01'", 9, "older"), ("null", 10, "undated"), ("timestamp'2024-01-02'", 4, "same day, before")]
+    for n, (stamp, number, text) in enumerate(stamps):
+        row = f"cast({number} as long) chunk_no, cast({stamp} as timestamp) ingested_at, 'u::0' chunk_id, 'u' document_url, 't' document_title, 0 chunk_index, '{text}' text, array(1f) embedding"
+        spark.sql(f"SELECT {row}").coalesce(1).write.parquet(f"{tmp_path}/one{n}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        (part,) = (tmp_path / f"one{n}").glob("*.parquet")
+        os.utime(part.rename(tmp_path / "in" / f"{n}.parquet"), (1_700_000_000 + n, 1_700_000_000 + n))
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    for files in (1, 2, 100):
+        store = ChunkStore(spark, f"{tmp_path}/store{files}")
+        upsert_stream(spark, f"{tmp_path}/in", schema, store, f"{tmp_path}/check{files}", files_per_batch=files)
+        assert [r["text"] for r in store.read().collect()] == ["new"] and store.read().columns == ["chunk_id", "document_url", "document_title", "chunk_index", "text", "embedding"]
+    store.insert(spark.createDataFrame([("u", "A", 0, "by hand", None), ("w", "W", 0, "c", None)], RECORD))
+    assert {r["text"] for r in store.read().collect()} == {"by hand", "c"}
+    store.insert_log(spark.read.parquet(f"{tmp_path}/in"))
+    assert {r["text"] for r in store.read().collect()} == {"new", "c"}
+    for version in (tmp_path / "store100").glob("data-*"):  # a store from before the log's order was kept
+        store.read().coalesce(1).write.parquet(f"{tmp_path}/plain")
+        store.read().sparkSession.read.parquet(f"{tmp_path}/plain").write.mode("overwrite").parquet(str(version))
+    store.insert_log(spark.read.parquet(f"{tmp_path}/in/1.parquet"))
+    assert {r["text"] for r in store.read().collect()} == {"older", "c"}
+
+
 def test_question_load_counts_once(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES (1L, 5, 1, timestamp'2024-01-01 10:00:00'), (1L, 5, 1, timestamp'2024-01-01 10:00:00'), (1L, 5, 2, timestamp'2024-01-01 10:00:00'), (2L, 5, 1, timestamp'2024-01-01 11:00:00') t(run_id, question_id, rank_no, asked_at)")
     rows.write.parquet(f"{tmp_path}/in")
