@@ -124,11 +124,10 @@ def _plan(targets: list, blocks: dict[str, tuple[np.ndarray, np.ndarray]], shard
         numbers, tokens = blocks.get(row["__site"], (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         have = int(tokens.sum())
         order = rng.permutation(len(numbers))
-        repeats = max(0, row["max_repeats"] or 0)
-        full = min(int(row["quota"] // have), repeats) if have else 0
+        full = min(int(row["quota"] // have), row["max_repeats"]) if have else 0
         # whole rounds of all blocks, then the stretch of one more round that comes nearest to the quota
         ends = np.concatenate([[0], np.cumsum(tokens[order])])
-        extra = int(np.abs(ends - (row["quota"] - full * have)).argmin()) if full < repeats else 0
+        extra = int(np.abs(ends - (row["quota"] - full * have)).argmin()) if full < row["max_repeats"] else 0
         copies = np.concatenate([np.tile(order, full), order[:extra]]).astype(np.int64)
         number = np.concatenate([np.repeat(np.arange(full), len(order)), np.full(extra, full)])
         mixed = rng.permutation(len(copies))
@@ -140,6 +139,16 @@ def _plan(targets: list, blocks: dict[str, tuple[np.ndarray, np.ndarray]], shard
     return pd.concat(out) if out else pd.DataFrame({"site": [], "block": [], "shard": [], "copy": []})
 
 
+def _one_a_site(rows: list) -> list[dict]:
+    """The rows of ``reach`` as one a site, in the order of sites, quotas added up as far as ``max_repeats`` goes."""
+    out: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["__site"] or "", r["quota"])):
+        held = out.setdefault(r["__site"], {"__site": r["__site"], "documents": r["documents"], "available": r["available"], "max_repeats": 0, "quota": 0.0})
+        held["max_repeats"] = max(held["max_repeats"], r["max_repeats"] or 0)
+        held["quota"] += r["quota"]
+    return [row | {"quota": min(row["quota"], float(row["max_repeats"] * row["available"]))} for row in out.values()]
+
+
 def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = SEED, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``(shard, position, key, source, copy, tokens)``: the mix, ``copy`` from 0 for a document taken again.
 
@@ -148,12 +157,16 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     block's, which is a document or a few until a source has more than ``MAX_BLOCKS``. Sources that
     aren't listed give nothing. Equal seeds give equal mixes. Documents of no tokens are taken along with
     their blocks. Duplicate rows are documents of their own. Empty tables give an empty mix.
+
+    Rows of ``targets`` that name one site (listed twice, or as X and www.x) have their quotas added up,
+    each of them bounded by its own ``max_repeats``, and no document is taken more often than the
+    greatest of these allows.
     """
     plan = reach(sizes, targets, total)
     rows = plan.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = list({r["__site"]: r for r in sorted(rows, key=lambda r: (r["__site"] or "", r["quota"]))}.values())
+    rows = _one_a_site(rows)
     counts = sizes.sparkSession.createDataFrame(
         pd.DataFrame({"site": [r["__site"] for r in rows], "blocks": [max(1, min(4 * r["documents"], max(64, 16 * MAX_BLOCKS // max(16, len(rows))))) for r in rows]}), "site string, blocks long"
     )
@@ -173,10 +186,11 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, target_share, tokens, share, documents, most_copies)``: what a mix came to, one row a listed source."""
+    """``(source, target_share, tokens, share, documents, most_copies)``: what a mix came to, one row a listed site; its ``target_share`` is all that its rows add up to."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max(F.col("copy") + 1).alias("most_copies"))
     all_tokens = mixed.agg(F.sum("tokens").alias("all_tokens"))
     rows = targets.select(F.regexp_replace(F.lower(F.trim("source")), r"^www\.", "").alias("source"), "target_share")
+    rows = rows.groupBy("source").agg(F.sum("target_share").alias("target_share"))
     return (
         rows.join(got, "source", "left").crossJoin(F.broadcast(all_tokens))  # one row
         .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"),

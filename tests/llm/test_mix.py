@@ -40,6 +40,22 @@ def test_mix_meets_quotas(spark):
     assert mix.mix(table.limit(0), targets).count() == 0 and mix.mix(table, targets.limit(0)).count() == 0
 
 
+def test_rows_of_one_site_add_up(spark):
+    table = sizes(spark, {"a": 300, "b": 40, "c": 160})
+    targets = spark.createDataFrame([("a", 0.2, 1), (" WWW.a", 0.1, 1), ("a", 0.1, 1), ("b", 0.2, 3), ("www.b", 0.5, 1), ("B", 0.1, -1), ("c", 0.3, 1), ("C", 0.3, 1), (None, 0.1, 1)], TARGET)
+    mixed = mix.mix(table, targets)
+    rows = mixed.collect()
+    count = {s: sum(r["source"] == s for r in rows) for s in "abc"}
+    # b: 100 for the first row, all 40 once for the second, but none more than 3 times; c: no more than all 160 once
+    for source, wanted in {"a": 200, "b": 120, "c": 160}.items():
+        assert abs(count[source] - wanted) <= 1
+    assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows) and max(r["copy"] for r in rows if r["source"] == "b") == 2
+    assert all(r["copy"] == 0 for r in rows if r["source"] in "ac")
+    got = {r["source"]: r for r in mix.shares(mixed, targets).collect()}
+    assert mix.shares(mixed, targets).count() == len(got) == 4 and sum(r["tokens"] for r in got.values()) == 10 * len(rows)
+    assert abs(got["a"]["target_share"] - 0.4) < 1e-9 and got["a"]["tokens"] == 10 * count["a"] and got[None]["tokens"] == 0
+
+
 def test_found_comes_from_the_mix(spark, testdata, monkeypatch):
     divided, written = [], {}
     tree, keep = mix.hypergeometric_tree, queries.materialize
