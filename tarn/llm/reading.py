@@ -102,31 +102,33 @@ def familiar_words(profiled: DataFrame) -> DataFrame:
     return document_frequencies(profiled).select("word", band.alias("band")).filter("band IS NOT NULL")
 
 
-def _hits(language: str) -> Column:
-    words = F.array(*[F.lit(w) for w in FUNCTION_WORDS[language].split()])
-    return F.size(F.array_intersect("words", words))
+def _occurrences(language: str) -> Column:
+    """How often the language's function words stand in a document, over its rows ``(word, n)``."""
+    return F.sum(F.when(F.col("word").isin(*FUNCTION_WORDS[language].split()), F.col("n")).otherwise(0)).alias(f"of_{language}")
 
 
 def features(profiled: DataFrame, keys: list[str]) -> DataFrame:
     """One row a document: ``keys``, ``n_words``, ``english``, ``unfamiliar_<i>`` (share of words outside list i), ``sentence_length``.
 
-    A document is English if its words include more kinds of English function words than Spanish or
-    German ones and letters of Chinese, Japanese or Korean are fewer than its words.
+    A document is English if English function words occur in it more often than Spanish and than German
+    ones, each occurrence counted, and letters of Chinese, Japanese or Korean are fewer than its words.
+    So a page of another language doesn't become English by an English notice; a tie is not English.
     """
     bands = materialize(familiar_words(profiled), "familiar-words")
     side = F.broadcast(bands) if size_bytes(bands) <= BROADCAST_BYTES else bands
-    english = (_hits("en") > F.greatest(_hits("es"), _hits("de"))) & (F.col("n_cjk") < F.col("n_words"))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
-    rows = profiled.select(*keys, "__row", "n_words", "n_sentences", english.alias("english"), total.alias("total"), "words", "counts")
-    fixed = [*keys, "n_words", "n_sentences", "english", "total"]
+    rows = profiled.select(*keys, "__row", "n_words", "n_sentences", "n_cjk", total.alias("total"), "words", "counts")
+    fixed = [*keys, "n_words", "n_sentences", "n_cjk", "total"]
     each = rows.select("__row", *fixed, F.explode_outer(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w"))
     joined = each.select("__row", *fixed, F.col("w.word").alias("word"), F.col("w.n").alias("n")).join(side, "word", "left")
     sums = joined.groupBy("__row").agg(
         *[F.first(c).alias(c) for c in fixed],
         *[F.sum(F.when(F.col("band") <= i, F.col("n")).otherwise(0)).alias(f"known_{i}") for i in range(len(SHARES))],
+        *[_occurrences(language) for language in FUNCTION_WORDS],
     )
+    english = (F.col("of_en") > F.greatest("of_es", "of_de")) & (F.col("n_cjk") < F.col("n_words"))
     share = [F.when(F.col("total") > 0, 1 - F.col(f"known_{i}") / F.col("total")).alias(f"unfamiliar_{i}") for i in range(len(SHARES))]
-    return sums.select(*keys, "n_words", "english", *share, F.when(F.col("total") > 0, F.col("total") / F.greatest(F.col("n_sentences"), F.lit(1))).alias("sentence_length"))
+    return sums.select(*keys, "n_words", english.alias("english"), *share, F.when(F.col("total") > 0, F.col("total") / F.greatest(F.col("n_sentences"), F.lit(1))).alias("sentence_length"))
 
 
 @dataclass
@@ -169,12 +171,15 @@ def fit(x: np.ndarray, levels: np.ndarray) -> Formula:
 
 
 def fit_labels(featured: DataFrame, labels: DataFrame, key: str = "doc_id", level: str = "reading_level", max_labels: int = MAX_LABELS) -> Formula:
-    """The formula's weights from graded English documents; every rater's grade counts by itself, null grades don't."""
+    """The formula's weights from graded English documents; every rater's grade counts by itself, null grades don't.
+
+    At most ``max_labels`` grades, and of documents that share a graded key as many rows, are fitted on.
+    """
     graded = labels.filter(F.col(level).isNotNull() & F.col(key).isNotNull()).select(key, F.col(level).alias("__level"))
     sample = bounded_sample(graded, [key], max_labels)
     columns = [*[f"unfamiliar_{i}" for i in range(len(SHARES))], "sentence_length"]
     known = featured.filter("english AND sentence_length IS NOT NULL")
-    rows = known.join(F.broadcast(sample), key).select(*columns, "__level").collect()  # at most max_labels, doc_id being unique
+    rows = bounded_sample(known.join(F.broadcast(sample), key).select(*columns, "__level"), columns, max_labels).collect()
     data = np.array([[float(v) for v in r] for r in rows]).reshape(-1, len(columns) + 1)
     shares = data[:, : len(SHARES)]
     x = np.column_stack([np.log((shares + 0.01) / (1.01 - shares)), np.log(np.maximum(data[:, -2], 1.0))])

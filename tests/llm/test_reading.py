@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarn.llm import reading
 
@@ -47,6 +48,25 @@ def test_languages(spark):
     assert [got[i][0] for i in range(1, 6)] == [True, False, False, False, False] and got[1][1] == 1 and got[5][1] is None
 
 
+def test_notices_of_another_language(spark):
+    english = "Enjoyed this? Pass it on to your friends today, for we have more of it at our site, and it is not to be had from any other. "
+    notice = "The content of this page is for you and not for sale, as it was with all that we had on our site. "
+    german = "Die Reiher sind in dem Schilf und werden nicht gesehen, denn der Nebel liegt auf dem Wasser und von den Booten ist auch nichts zu hören. "
+    spanish = "El pájaro anida cerca del río y vuelve en otoño con sus crías, pero los cazadores de la zona no lo ven por su color y por el silencio. "
+    rows = [(1, (english + notice) + german * 4), (2, spanish * 4 + english + notice), (3, (english + notice) * 3 + german), (4, "the und"), (5, "the de la und")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["english"] for r in reading.reading_levels(docs, spark.createDataFrame([], "doc_id long, reading_level int")).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False}  # ties are not English
+
+
+def test_labels_of_a_repeated_key_stay_bounded(spark):
+    rows = corpus(40)
+    docs = spark.createDataFrame([(0, t) for _, t, _ in rows] + [(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, level) for i, _, level in rows], "doc_id long, reading_level int")
+    featured = reading.features(reading.profile(docs.withColumn("__row", F.monotonically_increasing_id()), keep=["doc_id", "__row"]), ["doc_id"])
+    assert reading.fit_labels(featured, labels, max_labels=20).weights.shape == (3, 6)
+
+
 def test_hard_rows(spark, hard):
     labels = spark.createDataFrame([(5, 1), (6, 2)], "doc_id long, reading_level int")
     assert reading.reading_levels(hard, labels).count() == hard.count()
