@@ -18,7 +18,7 @@ def connect():
     import duckdb
 
     db = duckdb.connect(config={"threads": 1, "preserve_insertion_order": True, "temp_directory": ""})
-    db.execute("SET TimeZone = 'UTC'")
+    db.execute("SET TimeZone = 'UTC'; SET enable_progress_bar = false")
     return db
 
 

@@ -1,5 +1,9 @@
 import base64
 import os
+import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -42,6 +46,31 @@ def test_random(encoder, reference, texts):
     assert encoder.encode(pa.record_batch({"text": pa.array(texts, pa.string())}), "text").to_pylist() == [reference(t) for t in texts]
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "aeiouéßñ", "abcdefghijklmnopqrstuvwxyz", "-=_", "日本語のテキスト", "theandof"])
+def test_long_words(batch, encoder, reference, letters):
+    rng = random.Random(len(letters))
+    texts = ["".join(rng.choices(letters, k=k)) for k in (encode.LONG_WORD - 1, encode.LONG_WORD + 1, 5 * encode.LONG_WORD + 7, 20_000)]
+    texts.append("".join(letter * rng.randint(1, 700) for letter in rng.choices(letters, k=40)))
+    assert encoder.encode(batch(texts), "text").to_pylist() == [reference(t) for t in texts]
+
+
+def test_a_long_word_takes_bounded_memory():
+    code = (  # in a process of its own, for its peak
+        "import random, resource, pyarrow as pa; from tarn.llm import encode; rng = random.Random(1)\n"
+        "encoder = encode.Encoder(*encode.vocabulary(f'{encode.TOKENIZERS}/{encode.VOCABULARY}'))\n"
+        "encoder.encode(pa.record_batch({'text': pa.array([''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=150_000))])}), 'text')\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    root = Path(encode.__file__).resolve().parents[2]
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root).stdout) < 1000
+
+
+def test_texts_of_all_private_use_characters(batch, encoder, reference):
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    texts = [every + "  a  b", "\ue000" * 5 + "   x \ue000\ue000  y  \ue000", "  two  spaces", every]
+    assert encoder.encode(batch(texts), "text").to_pylist() == [reference(t) for t in texts]
+
+
 def test_kept_words_are_bounded(batch, reference):
     small = encode.Encoder(*encode.vocabulary(f"{encode.TOKENIZERS}/{encode.VOCABULARY}"), kept=3)
     for text in ("one two three four", "five six", "one seven"):
@@ -51,7 +80,7 @@ def test_kept_words_are_bounded(batch, reference):
 def test_table(spark, hard, reference):
     got = encode.encode(hard.withColumnRenamed("kind", "ids"))
     assert got.columns[-1] == "ids" and got.columns.count("ids") == 1
-    for r in got.filter("doc_id <> 6").collect():
+    for r in got.collect():
         assert r["ids"] == reference(r["text"])
     assert encode.encode(hard.limit(0)).count() == 0
 
