@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.duck import connect, map_text, text_table
+from tarn.llm.duck import connect, map_text, slices, text_table
+from tarn.storage import materialize
 
 # Letters of other scripts that are drawn like Latin letters.
 LOOK_ALIKES = {
@@ -29,7 +30,7 @@ LOOK_ALIKES = {
     "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ү": "Y", "Ԁ": "D",
     "Ӏ": "I", "Ё": "Ë", "Ї": "Ï", "Ӓ": "Ä", "Ӧ": "Ö",
     # Greek
-    "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u", "χ": "x", "κ": "k", "ό": "ó", "ά": "á", "ί": "í",
+    "ο": "o", "ν": "v", "ρ": "p", "ό": "ó",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # Armenian and Latin extensions
@@ -72,7 +73,7 @@ def _tidy(text: str) -> str:
     for old, new in (("⁄", "/"), (DASHES, "-"), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"')):
         for c in old:
             text = text.replace(c, new)
-    return "".join(" " if c in SPACES else LOOK_ALIKES.get(c, c) for c in text)
+    return "".join(" " if c in SPACES else c for c in text)
 
 
 @lru_cache(maxsize=1)
@@ -97,7 +98,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
             common[char] = form
         else:
             rare[char] = form
-    common |= dict.fromkeys(SPACES, " ") | LOOK_ALIKES
+    common |= dict.fromkeys(SPACES, " ")
     for chars, to in ((DASHES, "-"), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"')):
         common |= dict.fromkeys(chars, to)
     for char in common:
@@ -105,6 +106,13 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return common, rare, longer
 
 
+def _real_words() -> str:
+    """A regular expression that finds words of a script with look-alikes that a reader sees as such: of its letters alone, some of them not drawn like Latin ones."""
+    own = _class(chr(p) for p in range(0x370, 0x590) if unicodedata.category(chr(p)).startswith("L") and chr(p) not in LOOK_ALIKES)
+    script = r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{M}]"
+    return rf"(?:^|[^\p{{L}}\p{{M}}])(?:{script}+{own}|{own}{script}){script}*(?:$|[^\p{{L}}\p{{M}}])"
+
+
 @lru_cache(maxsize=1)
 def steps() -> tuple[list[str], str]:
     """The embedded SQL, a projection of ``x`` a step, and an aggregate that tells whether the second step has anything to do."""
@@ -116,16 +124,21 @@ def steps() -> tuple[list[str], str]:
         expand = f"replace({expand}, {_quote(c)}, {_quote(longer[c])})"
     rare_map = f"translate(x, {_quote(''.join(rare))}, {_quote(''.join(rare.values()))})"
     entries = "MAP { " + ", ".join(f"{_quote(c)}: {_quote(longer[c])}" for c in seldom) + " }"
-    each = f"list_transform(regexp_extract_all(x, '(?s).'), lambda c: coalesce(list_extract(map_extract({entries}, c), 1), c))"
+    any_seldom = _class(seldom)
+    each = f"list_transform(regexp_extract_all(x, '{any_seldom}|[^{any_seldom[1:]}+'), lambda c: coalesce(list_extract(map_extract({entries}, c), 1), c))"
+    alike, drawn = _quote("".join(LOOK_ALIKES)), _quote("".join(LOOK_ALIKES.values()))
+    in_words = rf"list_transform(regexp_extract_all(x, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+'), lambda w: CASE WHEN regexp_matches(w, '\p{{Latin}}') THEN translate(w, {alike}, {drawn}) ELSE w END)"
+    look_alikes = f"WHEN regexp_matches(x, '{_real_words()}') THEN array_to_string({in_words}, '') ELSE translate(x, {alike}, {drawn}) END"
     steps = [
         f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(often)}') THEN {expand} ELSE x END AS x)",
-        f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(seldom)}') THEN list_reduce({each}, lambda a, b: a || b) ELSE x END AS x)",
+        f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{any_seldom}') THEN array_to_string({each}, '') ELSE x END AS x)",
         f"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '{_class(rare)}') THEN {rare_map} ELSE x END AS x)",
         f"SELECT * REPLACE (CASE WHEN u THEN translate(replace(x, chr(13) || chr(10), chr(10)), {_quote(''.join(common))}, {_quote(''.join(common.values()))}) ELSE replace(x, chr(9), ' ') END AS x)",
         f"SELECT * REPLACE (CASE WHEN u THEN regexp_replace(x, '{INVISIBLE}', '', 'g') ELSE x END AS x)",
+        f"SELECT * REPLACE (CASE WHEN NOT u OR NOT regexp_matches(x, '{_class(LOOK_ALIKES)}') THEN x {look_alikes} AS x)",
         r"SELECT * REPLACE (CASE WHEN u AND regexp_matches(x, '[\p{M}\x{1100}-\x{11ff}]') THEN nfc_normalize(x) ELSE x END AS x)",
     ]
-    return steps, f"bool_or(regexp_matches(x, '{_class(seldom)}'))"
+    return steps, f"bool_or(regexp_matches(x, '{any_seldom}'))"
 
 
 #: The form in which texts are compared: case folded, white space runs one space.
@@ -167,6 +180,8 @@ def canonicalize(df: DataFrame, column: str = "text", output: str = "canonical",
     The form maps full-width and other compatibility characters, spaces, dashes, quotes, fractions and
     letters drawn like Latin ones, drops characters that show nothing and composes accents. Line ends
     stay, so line numbers hold. With ``matching`` case is folded and white space runs become one space.
+    In a text that has words of another script (of two letters or more, one of them not drawn like a Latin
+    one) letters are mapped only in words that also hold Latin letters, so such words stay as they are.
 
     Null gives null, empty gives empty; texts of any length are handled (a very long one is a batch of
     its own). Repeated rows give repeated rows. An existing column named ``output`` is replaced, all
@@ -181,68 +196,71 @@ def canonicalize(df: DataFrame, column: str = "text", output: str = "canonical",
     return map_text(df, column, [T.StructField(output, T.StringType())], compute)
 
 
-#: Phrases that one automaton holds; a larger set is searched in blocks of this size.
-PHRASE_BLOCK = 20_000
+#: Phrases that one automaton holds, and bytes of them that are broadcast at once; a larger set is searched in several blocks.
+PHRASE_BLOCK, PHRASE_BYTES = 20_000, 16 << 20
 
 
 def find_phrases(phrases: DataFrame, documents: DataFrame, phrase: str = "phrase", text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row of ``phrases`` with each document whose text shows that phrase, case ignored.
 
-    Both sides are brought to the matching form. The phrase set is the stated query side: it is read in
-    blocks of ``PHRASE_BLOCK`` phrases, each block is one automaton that every partition runs over its
-    documents, so no pair of phrase and document is formed unless it matches. Result: the columns of
-    ``phrases`` except the phrase (64-bit integers), then ``keys`` of the documents.
+    Both sides are brought to the matching form, each once. The phrase set is the stated query side: it is
+    read in blocks of ``PHRASE_BLOCK`` phrases and ``PHRASE_BYTES``, each block is broadcast as one automaton
+    that every partition runs over its documents, so no pair of phrase and document is formed unless it
+    matches. Result: the columns of ``phrases`` except the phrase (64-bit integers), then ``keys``.
 
     Null phrases and phrases that show nothing match no document; null texts contain nothing. Repeated
     phrases and repeated documents give one row per pair of rows.
     """
     ids = [c for c in phrases.columns if c != phrase]
     shown = canonicalize(phrases.filter(F.col(phrase).isNotNull()), phrase, "__form", matching=True).filter("__form <> ''")
-    out, block = None, []
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ids] + [documents.schema[k] for k in keys])
-
-    def search(block: list) -> DataFrame:
-        found: dict[str, list] = {}
-        for row in block:
-            found.setdefault(row["__form"], []).append(tuple(row[c] for c in ids))
-        return _search(documents, text, keys, found, ids, schema)
-
+    rows = documents.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
+    blocks: list[dict[str, list]] = [{}]
+    size = count = 0
+    out = None
     for row in shown.select(*ids, "__form").toLocalIterator():  # a block at a time on the driver
-        block.append(row)
-        if len(block) == PHRASE_BLOCK:
-            part, block = search(block), []
+        size, count = size + len(row["__form"].encode()), count + 1
+        if count > PHRASE_BLOCK or size > PHRASE_BYTES and count > 1:
+            if out is None:  # a second block: the documents' forms are kept for all of them
+                rows = materialize(canonicalize(rows, "__text", "__form", matching=True).drop("__text"), "matching-forms")
+            part = _search(rows, blocks.pop(), ids, schema)
             out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = search(block)
-        out = part if out is None else out.unionByName(part)
-    return out
+            blocks, size, count = [{}], len(row["__form"].encode()), 1
+        blocks[-1].setdefault(row["__form"], []).append(tuple(row[c] for c in ids))
+    part = _search(rows, blocks.pop(), ids, schema)
+    return part if out is None else out.unionByName(part)
 
 
-def _search(documents: DataFrame, text: str, keys: tuple[str, ...], found: dict[str, list], ids: list[str], schema: T.StructType) -> DataFrame:
-    from tarn.llm.duck import slices
+def _search(rows: DataFrame, block: dict[str, list], ids: list[str], schema: T.StructType) -> DataFrame:
+    """The hits of one block of phrases in ``rows``: the keys, numbered, and ``__text`` or its matching form ``__form``."""
+    done = "__form" in rows.columns
+    column = "__form" if done else "__text"
+    shipped = rows.sparkSession.sparkContext.broadcast(block)  # PHRASE_BYTES bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        found = shipped.value
         if not found:
             return
         automaton = ahocorasick.Automaton()
         for form in found:
             automaton.add_word(form, form)
         automaton.make_automaton()
-        db = connect()
-        for batch in slices(batches, text):
-            rows, hits = [], []
-            for row, form in enumerate(apply_sql(db, batch, text, MATCH_FORM)[0].to_pylist()):
+        db = None if done else connect()
+        for batch in slices(batches, column):
+            forms = batch.column(column) if done else apply_sql(db, batch, column, MATCH_FORM)[0]
+            taken, hits = [], []
+            for row, form in enumerate(forms.to_pylist()):
                 if form:
                     for hit in {value for _, value in automaton.iter(form)}:
                         for key in found[hit]:
-                            rows.append(row)
+                            taken.append(row)
                             hits.append(key)
-            if rows:
-                taken = batch.take(pa.array(rows, pa.int64()))
+            if taken:
+                kept = batch.take(pa.array(taken, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([h[i] for h in hits], pa.int64()) for i in range(len(ids))] + [taken.column(k) for k in keys], names=[*ids, *keys]
+                    [pa.array([h[i] for h in hits], pa.int64()) for i in range(len(ids))] + [kept.column(c) for c in kept.schema.names if c != column], names=schema.names
                 )
 
-    return documents.select(*dict.fromkeys([*keys, text])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

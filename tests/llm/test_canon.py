@@ -1,3 +1,4 @@
+import time
 import unicodedata
 
 from hypothesis import given, settings
@@ -33,7 +34,25 @@ def test_forms_are_stable_and_composed(texts):
     again = canon.apply_sql(DB, pa.record_batch({"text": pa.array(once, pa.string())}), "text", "x")[0].to_pylist() if texts else []
     assert again == once
     for text in once:
-        assert text == unicodedata.normalize("NFC", text) and not set(text) & set(canon.LOOK_ALIKES)
+        assert text == unicodedata.normalize("NFC", text)
+
+
+def test_words_of_other_scripts_stay(batch):
+    russian, greek = "Москва стоит на реке, а она и её оса тоже", "Το σπίτι είναι νέο και ωραίο"
+    mixed = "Мосkва"  # the k is Latin
+    assert forms(batch, [russian, greek, f"{russian} {mixed}", "а саt аnd μ", "α υ χ"]) == [russian, greek, f"{russian} Mockвa", "a cat and μ", "α υ χ"]
+    assert forms(batch, ["Моѕѕ Сору"], canon.MATCH_FORM) == ["moss copy"]  # all of a word's letters
+
+
+def test_long_texts_of_seldom_characters_take_linear_time(batch):
+    seldom = [c for c in canon.tables()[2] if c not in canon.OFTEN]
+    times = []
+    for size in (200_000, 2_000_000):
+        text = "".join(seldom[i % len(seldom)] if i % 3 else "a" for i in range(size))
+        began = time.perf_counter()
+        assert len(forms(batch, [text])[0]) > size
+        times.append(time.perf_counter() - began)
+    assert times[1] < 30 * max(times[0], 0.2)
 
 
 def test_table_keeps_rows_and_columns(spark, hard):
@@ -53,8 +72,10 @@ def test_phrases(spark, hard):
     assert got == sorted([(7, 0, 1), (7, 0, 1), (7, 0, 2), (9, 0, 1), (9, 0, 1), (9, 0, 2), (7, 1, 5)])
     assert canon.find_phrases(phrases.limit(0), docs).count() == 0 and canon.find_phrases(phrases, docs.limit(0)).count() == 0
     assert canon.find_phrases(phrases, hard).columns == ["question_id", "phrase_no", "doc_id"]
-    whole, canon.PHRASE_BLOCK = canon.PHRASE_BLOCK, 2  # several blocks give the same rows
-    try:
-        assert sorted(tuple(r) for r in canon.find_phrases(phrases, docs).collect()) == got
-    finally:
-        canon.PHRASE_BLOCK = whole
+    for name, few in (("PHRASE_BLOCK", 2), ("PHRASE_BLOCK", 1), ("PHRASE_BYTES", 10)):  # several blocks give the same rows
+        whole = getattr(canon, name)
+        setattr(canon, name, few)
+        try:
+            assert sorted(tuple(r) for r in canon.find_phrases(phrases, docs).collect()) == got
+        finally:
+            setattr(canon, name, whole)
