@@ -1,7 +1,7 @@
 """Problem 4: cutting oversized items at natural boundaries.
 
 Balanced targets: the smallest number of pieces is computed, equal-length targets are placed, each is
-moved to the strongest boundary near it, and pieces are added when a limit fails.
+moved to the strongest boundary near it that keeps the limit, and a piece is added where none does.
 """
 
 from __future__ import annotations
@@ -58,32 +58,37 @@ def strengths(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def cuts(n: int, strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Ends of the pieces of ``n`` words, the last one ``n``; each next piece starts ``overlap`` words before the end of the one before.
 
-    Starts from the smallest number of pieces. A target moves to the strongest boundary within half a
-    stride, the nearest of equals, the earlier of equally near. If a piece then exceeds the limit, one
-    piece is added; if that hasn't helped when their number has doubled, the targets themselves are
-    taken, which always fit.
+    Starts from the smallest number of pieces. The words that are left are shared out equally among the
+    pieces that are left; each target moves to the strongest boundary within a quarter of a stride, or else
+    within half of one (the nearest of equals, the earlier of equally near). Only ends are taken that keep
+    the piece within the limit and leave no more than the other pieces can hold. Where there is no such
+    boundary, an earlier one is taken and one piece added, and where there is none either the target itself.
     """
     if n <= limit:
         return [n]
-    least = -(-(n - overlap) // (limit - overlap))
+    room = limit - overlap
+    left = -(-(n - overlap) // room)
     at = np.flatnonzero(strength)
-    for pieces in range(least, 2 * least + 2):
-        stride = (n - overlap) / pieces
-        ends, start = [], 0
-        for i in range(1, pieces):
-            target = overlap + stride * i
-            low, high = np.searchsorted(at, (target - stride / 2, target + stride / 2))
-            near = at[low:high]
-            near = near[near > start + overlap]
-            end = int(round(target)) if not len(near) else int(near[np.lexsort((near, np.abs(near - target), -strength[near]))[0]])
-            if end - start > limit:
+    ends, start = [], 0
+    while left > 1:
+        stride = (n - start - overlap) / left
+        target = start + overlap + stride
+        least, most = max(n - (left - 1) * room, start + overlap + 1), start + limit
+        found = None
+        for low, high in ((least, most), (start + overlap + 1, min(least - 1, most))):
+            for reach in (stride / 4, stride / 2):
+                i, j = np.searchsorted(at, (max(low, target - reach), min(high, target + reach) + 1))
+                near = at[i:j][at[i:j] <= target + reach]
+                if len(near):
+                    found = int(near[np.lexsort((near, np.abs(near - target), -strength[near]))[0]])
+                    break
+            if found is not None:
                 break
-            ends.append(end)
-            start = end - overlap
-        else:
-            if n - start <= limit:
-                return [*ends, n]
-    return [*(int(overlap + (n - overlap) * i / least) for i in range(1, least)), n]
+        end = min(max(int(round(target)), least), most) if found is None else found
+        left -= end >= least
+        ends.append(end)
+        start = end - overlap
+    return [*ends, n]
 
 
 def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

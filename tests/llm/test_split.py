@@ -37,6 +37,28 @@ def test_balance_and_boundaries():
     assert len(check(" ".join(f"w{i}" for i in range(500)), 200, 40)) == 3
 
 
+@pytest.mark.parametrize("words", [1000, 5000, 20_000, 100_000])
+def test_pieces_over_the_minimum(words):
+    rng = random.Random(words)
+    out = []
+    while len(out) < words:
+        sentence = [f"w{rng.randrange(999)}" for _ in range(rng.randint(5, 25))]
+        sentence[-1] += "."
+        out += sentence
+        out[-1] += rng.choice([""] * 6 + ["\n\n", "\n\n# "])
+    text = " ".join(out)
+    pieces = check(text, 200, 40)
+    least = -(-(len(text.split()) - 40) // 160)
+    assert len(pieces) <= 1 + 1.15 * least
+    ends = sum(piece.rstrip(" #\n").endswith(".") for piece, _, _ in pieces)
+    assert ends == len(pieces)  # all cuts at a boundary
+
+
+def test_without_boundaries_the_fewest_pieces():
+    for n in (201, 360, 361, 10_000):
+        assert len(check(" ".join(["w"] * n), 200, 40)) == -(-(n - 40) // 160)
+
+
 def test_bounds(spark):
     for limit, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(ValueError):
