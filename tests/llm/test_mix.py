@@ -29,7 +29,7 @@ def test_mix_meets_quotas(spark):
     rows = mixed.collect()
     count = {s: sum(r["source"] == s for r in rows) for s in "abcd"}
     for source, wanted in {"a": 204, "b": 102, "c": 153, "d": 0}.items():  # of 510 documents
-        assert abs(count[source] - wanted) <= 1  # half a block, which is a document or two
+        assert abs(count[source] - wanted) <= 1  # half a cell, which is a document
     assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
     assert max(r["copy"] for r in rows if r["source"] == "b") == 2 and all(r["copy"] == 0 for r in rows if r["source"] in "ac")
     for shard in {r["shard"] for r in rows}:
@@ -62,7 +62,7 @@ def test_found_comes_from_the_mix(spark, testdata, monkeypatch):
     monkeypatch.setattr(mix, "hypergeometric_tree", lambda *a: divided.append(tree(*a)) or divided[-1])
     monkeypatch.setattr(queries, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
     got = sorted(r["source"] for r in queries.p7_found(spark, testdata).collect())
-    assert len(divided) == 1 and written["mix"].count() >= divided[0].sum() > 0 and "position" in written["mix"].columns  # a block holds a document or a few
+    assert len(divided) == 1 and divided[0].sum() > 0 and written["mix"].count() > 0 and "position" in written["mix"].columns
     targets = spark.read.parquet(f"{testdata}/mix_targets.parquet")
     assert got == sorted(r["source"] for r in mix.reach(written["sizes"], targets).filter("NOT reachable").collect())
 
@@ -77,6 +77,45 @@ def test_short_sources_are_those_out_of_reach(spark):
     assert mix.short(mix.mix(table.limit(0), targets), table.limit(0), targets).count() == 0
 
 
+def test_many_repeats_take_no_more_of_the_driver(spark, monkeypatch):
+    asked, shipped = [], []
+    monkeypatch.setattr(mix, "hypergeometric_tree", lambda q, n, rng: asked.append((q, n)) or np.diff(np.linspace(0, q, n + 1).astype(np.int64), axis=0))
+    table = sizes(spark, {"a": 40, "b": 3}, tokens=7)
+    targets = spark.createDataFrame([("a", 0.5, 2_000_000_000), ("b", 0.5, 5)], TARGET)
+    mixed = mix.mix(table, targets, total=10**9, shard_tokens=10**8)
+    quotas, shards = asked[0]
+    assert quotas.sum() <= mix.ALL_CELLS and shards == 5  # a plan of numbers, whatever the copies
+    assert mixed.schema["copy"].dataType.simpleString() == "int"
+
+
+def test_more_shards_than_are_planned(spark, monkeypatch):
+    monkeypatch.setattr(mix, "STRETCHES", 6)
+    table = sizes(spark, {"a": 300, "b": 100})
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], TARGET)
+    rows = mix.mix(table, targets, shard_tokens=400).collect()  # ten shards, of which three are planned
+    assert abs(len(rows) - 400) <= 2 and len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+    found = {s: sorted(r["position"] for r in rows if r["shard"] == s) for s in {r["shard"] for r in rows}}
+    assert len(found) == 12 and all(p == list(range(len(p))) for p in found.values()) and max(map(len, found.values())) <= 2 * min(map(len, found.values()))
+
+
+@pytest.mark.parametrize("tokens", [1, 1000])
+def test_quotas_are_met_within_a_document(spark, tokens):
+    rng = np.random.default_rng(tokens)
+    rows = [(i, "abc"[i % 3], int(rng.integers(0, tokens + 1))) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, site string, tokens long")
+    targets = spark.createDataFrame([("a", 0.123, 2), ("b", 0.6, 7), ("c", 0.277, 1)], TARGET)
+    wanted = {r["__site"]: r["quota"] for r in mix.reach(table, targets).collect()}
+    got = {r["source"]: r["tokens"] for r in mix.shares(mix.mix(table, targets), targets).collect()}
+    assert all(abs(got[s] - wanted[s]) <= 4 * tokens for s in "abc")
+
+
+def test_turns_are_permutations():
+    for number in (0, 1, 2, 77, 10**9):
+        places = mix.turn(np.arange(256), 256, number)
+        assert sorted(places) == list(range(256))
+    assert (mix.turn(np.arange(256), 256, 1) != mix.turn(np.arange(256), 256, 2)).mean() > 0.9
+
+
 def test_tree_divides_exactly():
     rng = np.random.default_rng(1)
     quotas = np.array([1000, 1, 0, 37])
