@@ -42,6 +42,35 @@ def test_store_upserts_by_key(spark, tmp_path):
     assert store.count() == 0
 
 
+def test_inserts_touch_their_buckets_only(spark, tmp_path):
+    store = ChunkStore(spark, f"{tmp_path}/s", buckets=8)
+    store.insert(spark.createDataFrame([(f"u{i}", "A", 0, "v1", None) for i in range(60)], RECORD))
+    before = store._manifest()["folders"]
+    begun = store.read()  # its files outlive one write
+    store.insert(spark.createDataFrame([("u7", "A", 0, "v2", None), ("u7", "A", 0, "v3", None), ("u7", "A", 1, "x", None)], RECORD))
+    after = store._manifest()["folders"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert {r["text"] for r in begun.collect()} == {"v1"}
+    assert {(r["chunk_id"], r["text"]) for r in store.read().filter("document_url = 'u7'").collect()} == {("u7::0", "v3"), ("u7::1", "x")}  # the last of two
+    assert store.count() == 61
+    store.insert(spark.createDataFrame([("u8", "A", 0, "b", None), ("u8", "A", 0, "a", None)], RECORD).selectExpr("*", "ascii(text) AS n"), order=("n",))
+    assert [r["text"] for r in store.read().filter("document_url = 'u8'").collect()] == ["b"]
+    assert len(list((tmp_path / "s").glob("manifest-*"))) == 2
+    held = {p.parent.name for p in (tmp_path / "s").glob("data-*/b=*") if any(p.iterdir())}
+    assert len(held) <= 3
+
+
+def test_log_writes_are_merged_and_compacted(spark, tmp_path):
+    store = ChunkStore(spark, f"{tmp_path}/s", buckets=2)
+    for n in (3, 1, 5, 2, 4, 6):
+        row = f"cast({n} as long) chunk_no, timestamp'2024-01-01' + make_interval(0, 0, 0, {n}) ingested_at, concat('u', id % 4, '::0') chunk_id, concat('u', id % 4) document_url, 't' document_title, 0 chunk_index, 'v{n}' text, array(1f) embedding"
+        store.insert_log(spark.sql(f"SELECT {row} FROM range(4)"))
+        assert all(len(f) <= 5 for f in store._manifest()["folders"].values())
+        assert store.count() == 4
+    assert {r["text"] for r in store.read().collect()} == {"v6"}
+    assert any(len(f) < 3 for f in store._manifest()["folders"].values())  # written anew on the way
+
+
 def test_last_writes_and_upsert(spark):
     log = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), (None, 9, 4), ("b", None, 5)], "chunk_id string, ingested_at int, chunk_no int")
     assert {tuple(r) for r in last_writes(log).collect()} == {("a", 2, 3), ("b", None, 5)}
@@ -63,6 +92,15 @@ def test_ingest_full_and_new(spark, tmp_path):
     assert store.read().filter("document_url = 'u1'").count() == 3  # the old tail stays
 
 
+def test_ingest_tells_of_its_progress(spark, tmp_path):
+    lines = []
+    docs = spark.createDataFrame([("u1", "A", "a b c d"), ("u1", "A again", "x y z"), ("u3", None, " ")], DOCUMENT)
+    store = ChunkStore(spark, f"{tmp_path}/s")
+    ingest(store, docs, config=SMALL, load=LOAD, out=lines.append)
+    assert lines == ["3 documents to chunk", "  A: 2 chunks", "  A again: 1 chunks", "  u3: 0 chunks", "3 chunks of 3 documents written"]
+    assert {(r["chunk_id"], r["document_title"]) for r in store.read().collect()} == {("u1::0", "A again"), ("u1::1", "A")}  # the page fetched last wins
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "a b")], "i int, text string")
     got = {r["i"]: r["embedding"] for r in embed(df, load=LOAD).collect()}
@@ -148,9 +186,7 @@ def test_streamed_late_writes_replace_nothing_newer(spark, tmp_path):
     assert {r["text"] for r in store.read().collect()} == {"by hand", "c"}
     store.insert_log(spark.read.parquet(f"{tmp_path}/in"))
     assert {r["text"] for r in store.read().collect()} == {"new", "c"}
-    for version in (tmp_path / "store100").glob("data-*"):  # a store from before the log's order was kept
-        store.read().coalesce(1).write.parquet(f"{tmp_path}/plain")
-        store.read().sparkSession.read.parquet(f"{tmp_path}/plain").write.mode("overwrite").parquet(str(version))
+    store.replace(store.read())  # nothing that a log's order is known of
     store.insert_log(spark.read.parquet(f"{tmp_path}/in/1.parquet"))
     assert {r["text"] for r in store.read().collect()} == {"older", "c"}
 
