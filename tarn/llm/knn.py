@@ -27,8 +27,10 @@ NEIGHBOURS = 5
 FACTOR = 4.0
 #: The same for searches that nothing but the neighbours met so far bounds.
 FAR_FACTOR = 4.0
-#: Fewest shards, most shards, and vectors a shard holds in between.
-MIN_SHARDS, MAX_SHARDS, SHARD_ROWS = 16, 4096, 65_536
+#: Fewest shards, most that the upper levels tell apart, and vectors a shard holds in between.
+MIN_SHARDS, MAX_SHARDS, SHARD_ROWS = 16, 4096, 32_768
+#: Points and searches of one task. A shard of more is searched by several tasks, each with some of its points and some of the searches that enter it.
+TASK_POINTS, TASK_SEARCHES = 65_536, 262_144
 #: Rows of the sample that the upper levels are fitted on, a shard and in all.
 SAMPLE_PER_SHARD, MAX_SAMPLE = 256, 65_536
 #: Sample rows whose distances bound a search from the start.
@@ -249,24 +251,22 @@ def nearest(
     lone row has no neighbours; an empty table gives an empty result; other columns are ignored.
     """
     rows = unit_vectors(df, key, vector, dim)
-    sizes = rows.groupBy("copy").agg(F.count("*").alias("n"))
-    stats = sizes.agg(F.count("*").alias("kinds"), F.max("n").alias("most")).first()
-    most = stats["most"] or 0
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("copy").orderBy("id"))).filter(F.col("r") <= k + 1)
+    kinds = materialize(first.groupBy("copy").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")), "vector-kinds")
+    stats = kinds.agg(F.count("*").alias("kinds"), F.max(F.size("ids")).alias("most")).first()
     shards = MIN_SHARDS
     while shards < MAX_SHARDS and stats["kinds"] > shards * SHARD_ROWS:
         shards *= 2
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("copy").orderBy("id"))).filter(F.col("r") <= k + 1)
-    kinds = materialize(first.groupBy("copy").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")).select("ids", "v"), "vector-kinds")
     sampled = bounded_sample(kinds.select(F.col("ids")[0].alias("id"), "v"), ["id"], min(MAX_SAMPLE, SAMPLE_PER_SHARD * shards), stats["kinds"]).collect()
     own = F.lit(True) if queries is None else F.exists("ids", queries)
-    found = _found(kinds.withColumn("asks", own), sampled, k, min_cosine, factor, shards, dim, queries is None and min_cosine > -1.0)
+    found = _found(kinds.select("ids", "v", own.alias("asks")), sampled, k, min_cosine, factor, shards, dim, queries is None and min_cosine > -1.0)
     one = F.lit(1.0)
     # row by row: neighbours of other kinds, of the same kind, and of the copies beyond those indexed
     other = found.filter(F.size("q") <= k).select(F.explode("q").alias("query"), "p", "cosine").select("query", F.explode("p").alias("neighbour"), "cosine")
     same = kinds.filter(F.size("ids") > 1).select(F.explode("ids").alias("query"), "ids").select("query", F.explode("ids").alias("neighbour"), one.alias("cosine"))
     pairs = other.unionByName(same.filter("query <> neighbour"))
-    if most > k + 1:
-        heavy = first.groupBy("copy").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > k)
+    if (stats["most"] or 0) > k:
+        heavy = kinds.select("copy", "ids").filter(F.size("ids") > k)
         rest = rows.select("id", "copy").join(heavy, "copy").filter(~F.array_contains("ids", F.col("id")))
         pairs = pairs.unionByName(rest.select(F.col("id").alias("query"), F.explode(F.slice("ids", 1, k)).alias("neighbour"), one.alias("cosine")))
     if queries is not None:
@@ -278,8 +278,9 @@ def nearest(
 def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: float, shards: int, dim: int, mutual: bool) -> DataFrame:
     """``(q, p, cosine)``: the keys of a kind of vector, those of one of its k most similar kinds, and their cosine; shard by shard.
 
-    With ``mutual`` (every row asks, within one radius) a search enters only shards numbered above its
-    own, and both rows learn of each pair.
+    With ``mutual`` (every row asks, within one radius) of any two shards only the rows of one enter the
+    other, and both rows learn of each pair. Which of them alternates, so visits are spread evenly.
+    A shard beyond what one task holds is divided by ``_divisions``: every search meets every point once.
     """
     sample = np.frombuffer(b"".join(r["v"] for r in sampled), np.float32).reshape(-1, dim)
     if len(sample):
@@ -287,16 +288,11 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
     else:
         points, medians = np.zeros((0, dim), np.float32), np.zeros(0, np.float32)
     shipped = kinds.sparkSession.sparkContext.broadcast((points, medians, sample[:PIVOTS], np.array([r["id"] for r in sampled[:PIVOTS]], np.int64)))  # MAX_SHARDS and PIVOTS bound it
-    sent = T.StructType(
-        [T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("asks", T.BooleanType()), T.StructField("floor", T.FloatType())]
-        + [kinds.schema["ids"], kinds.schema["v"]]
-    )
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """``(rows, keys, asking, floor, home, visiting rows, visited shards)`` of some rows at a time."""
         points, medians, pivots, pivot_ids = shipped.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 x = _unpack(part.column("v"), dim)
@@ -309,40 +305,97 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
                 reach = np.where(asks, np.sqrt(np.maximum(2.0 - 2.0 * floor, 0.0)) / factor + 1e-6, -9.0)
                 home, away_rows, away = route(x, points, medians, reach)
                 if mutual:
-                    up = away > home[away_rows]
-                    away_rows, away = away_rows[up], away[up]
-                taken = np.concatenate([np.arange(len(x)), away_rows])
-                at_home = np.arange(len(taken)) < len(x)
-                index = pa.array(taken)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home, away]).astype(np.int32)), pa.array(at_home), pa.array(asks[taken].astype(bool)), pa.array(floor[taken]), part.column("ids").take(index), part.column("v").take(index)],
-                    names=sent.names,
-                )
+                    enters = (away > home[away_rows]) == ((away + home[away_rows]) % 2 == 0)
+                    away_rows, away = away_rows[enters], away[enters]
+                yield part, ids, asks, floor, home, away_rows, away
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, shards), np.int64)
+        for _, _, _, _, home, _, away in routed(batches):
+            held[0] += np.bincount(home, minlength=shards)
+            held[1] += np.bincount(away, minlength=shards)
+        some = np.flatnonzero(held.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[0][some]), pa.array(held[1][some])], names=["shard", "points", "visits"])
+
+    sizes = kinds.mapInArrow(count, "shard int, points long, visits long").groupBy("shard").agg(F.sum("points").alias("points"), F.sum("visits").alias("visits"))
+    divided = _divisions([(r["shard"], r["points"], r["visits"]) for r in sizes.collect()], shards)  # a row a shard
+    offsets = np.cumsum([0, *(divided[:, 0] * divided[:, 1])])
+    sent = T.StructType(
+        [T.StructField("task", T.IntegerType()), T.StructField("role", T.ByteType()), T.StructField("asks", T.BooleanType()), T.StructField("floor", T.FloatType())]
+        + [kinds.schema["ids"], kinds.schema["v"]]
+    )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, asks, floor, home, away_rows, away in routed(batches):
+            share = _shares(ids)
+            row = np.concatenate([np.arange(len(ids)), away_rows])
+            task, role, asking, taken = _deal(np.concatenate([home, away]), np.arange(len(row)) < len(ids), share[row], asks[row], divided, offsets)
+            row = row[taken]
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task.astype(np.int32)), pa.array(role), pa.array(asking), pa.array(floor[row]), part.column("ids").take(index), part.column("v").take(index)], names=sent.names
+            )
 
     result = T.StructType([T.StructField("q", kinds.schema["ids"].dataType), T.StructField("p", kinds.schema["ids"].dataType), T.StructField("cosine", T.DoubleType())])
 
-    def shard(table: pa.Table) -> pa.Table:
+    def search_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]  # of one task: a partition holds no other
+        if not rows:
+            return
         # numbered by key, so that ties go to the smaller one
+        table = pa.Table.from_batches(rows)
         table = table.take(pa.array(np.argsort([i[0] for i in table.column("ids").to_pylist()], kind="stable")))
         x = _unpack(table.column("v"), dim)
-        home, asks = (table.column(c).to_numpy().astype(bool) for c in ("home", "asks"))
+        role, asks = table.column("role").to_numpy(), table.column("asks").to_numpy().astype(bool)
         best = Best(len(x), k, table.column("floor").to_numpy())
-        answering = home if mutual else np.zeros(len(x), bool)
-        here = np.flatnonzero(home)
-        quiet = np.zeros(len(x), bool)
-        search(x, here, np.flatnonzero(home & asks), quiet, best, factor)
+        here, quiet = np.flatnonzero(role == POINT), np.zeros(len(x), bool)
+        search(x, here, np.flatnonzero((role <= OWN) & asks), quiet, best, factor)
         best.settle()
-        search(x, here, np.flatnonzero(~home), answering, best, factor)
+        search(x, here, np.flatnonzero(role == VISITOR), role == POINT if mutual else quiet, best, factor)
         best.settle()
         row, rank = np.nonzero(best.neighbour >= 0)
         ids = table.column("ids").combine_chunks()
         exact = np.einsum("ij,ij->i", x[row].astype(np.float64), x[best.neighbour[row, rank]].astype(np.float64))
         kept = exact >= min_cosine - 1e-7
-        return pa.table(
+        yield pa.RecordBatch.from_arrays(
             [ids.take(pa.array(row[kept])), ids.take(pa.array(best.neighbour[row, rank][kept])), pa.array(np.clip(exact[kept], -1.0, 1.0))], names=result.names
-        ).cast(pa.schema([("q", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("cosine", pa.float64())]))
+        )
+
+    return kinds.mapInArrow(send, sent).repartitionById(int(offsets[-1]), "task").mapInArrow(search_task, result)
+
+
+#: What a row is to a task: a point of its tree (which may ask, too), a search of the same shard, a search from another shard.
+POINT, OWN, VISITOR = np.int8(0), np.int8(1), np.int8(2)
+
+
+def _divisions(sizes: list[tuple[int, int, int]], shards: int) -> np.ndarray:
+    """For each shard into how many groups its searches and its points are divided; every pair of groups is a task."""
+    out = np.ones((shards, 2), np.int64)
+    for shard, points, visits in sizes:
+        out[shard] = max(1, -(-(points + visits) // TASK_SEARCHES)), max(1, -(-points // TASK_POINTS))
+    return out
+
+
+def _shares(ids: np.ndarray) -> np.ndarray:
+    """A number a key, by which rows are dealt to groups."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(8)).astype(np.int64)
+
 
-    return kinds.mapInArrow(send, sent).groupBy("shard").applyInArrow(shard, result)
+def _deal(shard: np.ndarray, at_home: np.ndarray, share: np.ndarray, asks: np.ndarray, divided: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(task, role, asks, row)``: the tasks that each row goes to. A row's group of points is in the tasks of all groups of searches, and the other way round."""
+    searches, points = divided[shard, 0], divided[shard, 1]
+    as_search, as_point = share % searches, (share // 1009) % points
+    counted = lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    home = np.flatnonzero(at_home)
+    held, group = np.repeat(home, searches[home]), counted(searches[home])
+    out = [(offsets[shard[held]] + group * points[held] + as_point[held], np.full(len(held), POINT), asks[held] & (group == as_search[held]), held)]
+    asking = np.flatnonzero(~at_home | asks)
+    sought, group = np.repeat(asking, points[asking]), counted(points[asking])
+    other = ~at_home[sought] | (group != as_point[sought])  # among its own group a row asks as a point
+    sought, group = sought[other], group[other]
+    out.append((offsets[shard[sought]] + as_search[sought] * points[sought] + group, np.where(at_home[sought], OWN, VISITOR), np.ones(len(sought), bool), sought))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, k: int = NEIGHBOURS, min_cosine: float = 0.9, factor: float = FACTOR, dim: int = DIM) -> DataFrame:

@@ -21,7 +21,10 @@ def small(monkeypatch):
     monkeypatch.setattr(knn, "MIN_SHARDS", 4)
 
 
-def test_factor_one_is_exact(spark, small):
+@pytest.mark.parametrize("points, searches", [(65_536, 262_144), (30, 50), (10**6, 40), (20, 10**6)])
+def test_factor_one_is_exact(spark, small, monkeypatch, points, searches):
+    monkeypatch.setattr(knn, "TASK_POINTS", points)
+    monkeypatch.setattr(knn, "TASK_SEARCHES", searches)
     rng = np.random.default_rng(1)
     x = np.float32(rng.normal(size=(400, 8)))
     x[50:60] = x[40:50] + np.float32(0.001)
@@ -53,6 +56,21 @@ def test_factor_one_is_exact_about_dense_groups(spark, small):
     assert all(s[a, b] >= min(fifth[a], fifth[b]) - 2e-6 for a, b in got)
 
 
+def test_every_search_meets_every_point_once():
+    rng = np.random.default_rng(5)
+    shard, at_home = rng.integers(0, 3, 400), rng.random(400) < 0.6
+    divided = np.array([[3, 2], [1, 1], [1, 4]])
+    offsets = np.cumsum([0, *(divided[:, 0] * divided[:, 1])])
+    task, role, asks, row = knn._deal(shard, at_home, knn._shares(rng.integers(0, 10**12, 400)), np.ones(400, bool), divided, offsets)
+    met = {}
+    for t in np.unique(task):
+        own = task == t
+        for a in row[own & asks]:
+            for b in row[own & (role == knn.POINT)]:
+                met[a, b] = met.get((a, b), 0) + 1
+    assert met == {(a, b): 1 for a in range(400) for b in range(400) if at_home[b] and shard[a] == shard[b]}
+
+
 def test_copies_ties_and_unusable_rows(spark, small):
     base = np.float32([[1, 0, 0, 0], [0, 1, 0, 0], [0.6, 0.8, 0, 0]])
     rows = [(i, [float(v) * (1 + i) for v in base[0]]) for i in range(20)] + [(100 + i, [float(v) for v in base[1]]) for i in range(3)] + [(200, [0.6, 0.8, 0.0, 0.0])]
