@@ -1,9 +1,10 @@
-"""Ask a corpus from the shell: ``python -m tarn.cli STORE [question ...]``; without a question, a loop."""
+"""Ask a corpus from the shell: ``python -m tarn.cli STORE [question ...]``; without a question they are read line by line."""
 
 from __future__ import annotations
 
+import argparse
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,51 +15,51 @@ from tarn.operators.embedding import embed, hashing_model
 from tarn.shipping import ship
 from tarn.sources.store import ChunkStore
 
+ENDINGS = frozenset({"exit", "quit"})
 
-def ask_one(spark: SparkSession, corpus: DataFrame, question: str, config: Config, client: Callable) -> dict:
-    questions = spark.createDataFrame([(0, question)], "question_id long, question string")
-    questions = embed(questions, "question", load=lambda: hashing_model(config.embedding_dim))
-    tiered = retrieval.retrieve(corpus, questions, config, dim=config.embedding_dim)
-    return answering.ask(tiered, questions, client).first().asDict(recursive=True)
 
+def answers(spark: SparkSession, corpus: DataFrame, questions: list[str], config: Config, client: Callable) -> DataFrame:
+    """The answers to some questions, in one job; ``question_id`` is a question's place."""
+    asked = spark.createDataFrame(list(enumerate(questions)), "question_id long, question string")
+    asked = embed(asked, "question", load=lambda: hashing_model(config.embedding_dim))
+    return answering.ask(retrieval.retrieve(corpus, asked, config, dim=config.embedding_dim), asked, client).orderBy("question_id")
 
-def show(result: dict, out: Callable[[str], None] = print) -> None:
-    """The answer, then its sources if there are any."""
-    out(f"\n{result['answer']}")
-    if result["citations"]:
-        out("\nSources:")
-        for citation in result["citations"]:
-            out(f"  - {citation['title']} ({citation['url']})")
 
+def rendered(df: DataFrame) -> DataFrame:
+    """``(question_id, text)``: each answer as it is shown, numbered documents below it."""
+    cited = F.transform("citations", lambda c, i: F.concat(F.lit("\n"), F.lpad((i + 1).cast("string"), 3, " "), F.lit(". "), F.coalesce(c["title"], c["url"]), F.lit(" <"), c["url"], F.lit(">")))
+    return df.select("question_id", F.concat(F.col("answer"), F.array_join(cited, "")).alias("text"))
 
-def interactive(answer: Callable[[str], dict], read: Callable[[str], str] = input, out: Callable[[str], None] = print) -> None:
-    """Ask until ``exit``, ``quit`` or the end of input; blank lines are passed over."""
-    out("Ask a question about the stored documents ('exit' or Ctrl+C to quit).")
-    while True:
-        try:
-            question = read("\n> ").strip()
-        except (EOFError, KeyboardInterrupt):
-            out("")
-            return
-        if question.lower() in ("exit", "quit"):
+
+def typed(lines: Iterable[str]) -> Iterator[str]:
+    """The questions among some lines, up to one that ends the session; blank ones are none."""
+    for line in map(str.strip, lines):
+        if line.casefold() in ENDINGS:
             return
-        if question:
-            show(answer(question), out)
+        if line:
+            yield line
+
+
+def prompted(read: Callable[[str], str] = input) -> Iterator[str]:
+    """Lines as they are typed, until there are no more or the user breaks off."""
+    try:
+        while True:
+            yield read("tarn> ")
+    except (EOFError, KeyboardInterrupt):
+        return
 
 
-def main(argv: list[str] | None = None) -> None:
-    argv = sys.argv[1:] if argv is None else argv
-    if not argv:
-        sys.exit(__doc__)
+def main(argv: list[str] | None = None, out: Callable[[str], None] = print) -> None:
+    parser = argparse.ArgumentParser(prog="tarn", description=__doc__)
+    parser.add_argument("store", help="folder of a chunk store")
+    parser.add_argument("question", nargs="*", help="one question; none for a session")
+    given = parser.parse_args(sys.argv[1:] if argv is None else argv)
     spark, config = SparkSession.builder.appName("tarn").getOrCreate(), Config.from_env()
     ship(spark)
-    corpus = ChunkStore(spark, argv[0]).read().withColumn("chunk_no", F.monotonically_increasing_id()).cache()
+    corpus = retrieval.corpus_table(ChunkStore(spark, given.store).read().withColumn("chunk_no", F.monotonically_increasing_id()))
     client = (lambda: answering.http_client(config)) if config.llm_key else answering.first_excerpt_client
-    answer = lambda question: ask_one(spark, corpus, question, config, client)
-    if len(argv) > 1:
-        show(answer(" ".join(argv[1:])))
-    else:
-        interactive(answer)
+    for question in [" ".join(given.question)] if given.question else typed(prompted()):
+        out(rendered(answers(spark, corpus, [question], config, client)).first()["text"])
 
 
 if __name__ == "__main__":

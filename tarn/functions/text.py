@@ -61,10 +61,13 @@ def answer_is_correct(kind: Column, answer: Column, phrases: Column) -> Column:
     return F.when(kind == "unanswerable", is_refusal(answer)).otherwise(contains_all(answer, phrases))
 
 
+# Fixed value: citation marks, a number within square or lenticular brackets, with what may follow a dagger.
+CITATION = "[\\[【][" + SPACE + "]*([0-9]+)[" + SPACE + "]*(?:†[^\\]】]*)?[\\]】]"
+
+
 def cited_indices(answer: Column, n: Column) -> Column:
     """Numbers from 1 to ``n`` that citation marks like ``[1]`` and ``【1†...】`` name, ascending; all of them if no mark names one."""
-    marks = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit("[\\[【][" + SPACE + "]*([0-9]+)[" + SPACE + "]*(?:†[^\\]】]*)?[\\]】]"), F.lit(1))
-    numbers = F.transform(marks, lambda m: m.try_cast("int"))
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(CITATION), F.lit(1)), lambda m: m.try_cast("int"))
     valid = F.array_sort(F.array_distinct(F.filter(numbers, lambda i: (i >= 1) & (i <= n))))
     every = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.when(F.size(valid) > 0, valid).otherwise(every)
@@ -80,6 +83,16 @@ def preview(text: Column, characters: int = 300) -> Column:
     return F.concat(F.substring(text, 1, characters), F.when(F.length(text) > characters, "...").otherwise(""))
 
 
+def thousands(n: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(n, 0)
+
+
+def decimals(x: Column, places: int) -> Column:
+    """A number with so many places, halves of its decimal form away from zero."""
+    return F.format_string(f"%.{places}f", x.cast("double"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """``(34%)``, halves rounded to even; ``(n/a)`` of nothing."""
     share = F.bround(F.lit(100.0) * part / F.when(whole != 0, whole), 0).cast("int")

@@ -1,17 +1,25 @@
 """Okapi BM25 over a corpus, for a whole table of questions at once.
 
-Documents meet only the terms that are asked for: tokens are filtered by the questions' terms right
-where they are split, so what is shuffled grows with the matches and not with the corpus.
+A corpus that is searched once is tokenized once: tokens are filtered by the questions' terms right where
+they are split, so what is shuffled grows with the matches and not with the corpus. For one that is
+searched again and again ``build`` keeps its postings, ordered by term, so a search reads those of its terms.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.text import keyword_tokens
+from tarn.storage import materialize, size_bytes
 
+#: Terms of a set of questions up to which they are a filter of the scan of kept postings; more of them are joined.
+FILTER_TERMS = 2000
+#: Bytes of the written table of terms up to which it is broadcast; compressed columns grow about fourfold in memory.
+BROADCAST_BYTES = 16 << 20
 #: Decimals that scores are compared to; beyond them the order of summation shows.
 DECIMALS = 6
 
@@ -27,7 +35,9 @@ def term_score(tf: Column, length: Column, mean_length: Column, weight: Column,
 
 
 def lengths(corpus: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` with ``tokens`` and their number ``length``; a null text has none."""
+    """``keys`` with ``tokens`` and their number ``length``; a null text has none. Those that ``corpus`` has already are taken."""
+    if "tokens" in corpus.columns and "length" in corpus.columns:
+        return corpus.select(*keys, "tokens", "length")
     tokens = F.coalesce(keyword_tokens(F.col(text)), F.array().cast("array<string>"))
     return corpus.select(*keys, tokens.alias("tokens")).withColumn("length", F.size("tokens"))
 
@@ -39,7 +49,8 @@ def statistics(sized: DataFrame) -> DataFrame:
 
 def postings(sized: DataFrame, keys: list[str], terms: DataFrame | None = None) -> DataFrame:
     """``keys``, ``length``, ``term``, ``tf``; only of the ``terms`` given, if any are."""
-    each = sized.select(*keys, "length", F.explode("tokens").alias("term"))
+    # an inner explode would have the planner filter by the number of tokens first, for which it splits all texts twice
+    each = sized.select(*keys, "length", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         each = each.join(terms, "term", "left_semi")
     return each.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
@@ -50,19 +61,46 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+@dataclass
+class Index:
+    """Kept postings ``(*keys, length, term, tf)``, ordered by term, the terms' ``(term, df)``, and the row of ``statistics``."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build(corpus: DataFrame, keys: list[str], text: str = "text") -> Index:
+    """The index of a corpus; its tables are written to the shared folder and used by any number of searches."""
+    sized = lengths(corpus, keys, text)
+    kept = materialize(postings(sized, keys).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    return Index(kept, materialize(document_frequencies(kept), "term-frequencies"), materialize(statistics(sized), "corpus-statistics"))
+
+
+def _asked(questions: DataFrame, question: str, question_id: str) -> DataFrame:
+    return questions.select(question_id, F.explode(F.array_distinct(keyword_tokens(F.col(question)))).alias("term"))
+
+
 def search(
-    corpus: DataFrame, questions: DataFrame, keys: list[str], k: int = 5, question: str = "question", question_id: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75
+    corpus: DataFrame | Index, questions: DataFrame, keys: list[str], k: int = 5, question: str = "question", question_id: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
     """``(question_id, *keys, bm25, rank)``: up to ``k`` documents a question that share a term with it, best first.
 
     A term counts once however often the question repeats it. Scores equal to six decimals go by ``keys``.
     """
-    asked = questions.select(question_id, F.explode(F.array_distinct(keyword_tokens(F.col(question)))).alias("term"))
-    sized = lengths(corpus, keys, text)
-    posted = postings(sized, keys, asked.select("term").distinct())
-    weights = document_frequencies(posted).crossJoin(F.broadcast(statistics(sized)))  # one row
-    weights = weights.select("term", "mean_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    scored = posted.join(weights, "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
-    sums = asked.join(scored, "term").groupBy(question_id, *keys).agg(F.round(F.sum("score"), DECIMALS).alias("bm25"))
+    asked = _asked(questions, question, question_id)
+    if isinstance(corpus, Index):
+        few = [r["term"] for r in asked.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+        within = (lambda df: df.filter(F.col("term").isin(few))) if len(few) <= FILTER_TERMS else (lambda df: df.join(asked.select("term").distinct(), "term", "left_semi"))
+        posted, frequent, stats = within(corpus.postings), within(corpus.terms), corpus.stats
+    else:
+        sized = lengths(corpus, keys, text)
+        posted = materialize(postings(sized, keys, asked.select("term").distinct()), "asked-postings")  # read for the terms and for the scores
+        frequent, stats = materialize(document_frequencies(posted), "asked-terms"), statistics(sized)
+    weights = frequent.crossJoin(F.broadcast(stats)).select("term", "mean_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
+    if not isinstance(corpus, Index) and size_bytes(frequent) <= BROADCAST_BYTES:
+        weights = F.broadcast(weights)
+    scored = posted.join(asked.join(weights, "term"), "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
+    sums = scored.groupBy(question_id, *keys).agg(F.round(F.sum("score"), DECIMALS).alias("bm25"))
     best = W.partitionBy(question_id).orderBy(F.desc("bm25"), *keys)
     return sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

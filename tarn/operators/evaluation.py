@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.config import DEFAULTS, Config
 from tarn.functions.text import answer_is_correct, cost_usd, is_refusal
 from tarn.operators import answering, retrieval
+from tarn.storage import materialize
 
 
 def grades(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -51,17 +52,20 @@ def mean_seconds(timings: DataFrame, seconds: str = "seconds") -> DataFrame:
 
 
 def evaluate(corpus: DataFrame, questions: DataFrame, config: Config = DEFAULTS, mode: str | None = None, client: Callable = answering.first_excerpt_client, dim: int = 64) -> DataFrame:
-    """One row: a question set answered from a corpus and measured, retrieval by the mode that answers.
+    """One row: a question set answered from a corpus and measured.
 
-    Hits are counted over questions that expect documents, refusals over unanswerable ones, answers over all.
+    Whatever mode answers, retrieval is graded by the plain vector ranking. Hits are counted over questions
+    that expect documents, refusals over unanswerable ones, answers over all. The model is called once a
+    question with evidence: its answers are written before they are graded.
     """
+    corpus = retrieval.corpus_table(corpus)
     tiered = retrieval.retrieve(corpus, questions, config, mode, dim=dim)
-    answers = answering.ask(tiered, questions, client).withColumnRenamed("usage", "token_usage")
+    answers = materialize(answering.ask(tiered, questions, client).withColumnRenamed("usage", "token_usage"), "answers")
     graded = grades(answers, questions)
-    ranked = retrieval.RANKERS[mode or config.retrieval_mode](corpus, questions, config.raw_fetch_k, config, dim)
+    ranked = retrieval.vector_ranked(corpus, questions, config.raw_fetch_k, config, dim)
     hits = retrieval_hits(retrieval.first_documents(ranked), questions).agg(F.count("*").alias("retrieval_graded"), _count(F.col("top1")).alias("top1_hits"), _count(F.col("top5")).alias("top5_hits"))
-    both = graded.agg(F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("avg_seconds_per_query"))
-    return answer_metrics(graded).crossJoin(hits).crossJoin(both).na.fill(0)  # one row each
+    both = mean_seconds(answers)
+    return answer_metrics(graded).crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(both)).na.fill(0)  # one row each
 
 
 def report(row: dict) -> list[str]:

@@ -15,16 +15,31 @@ from pyspark.sql import functions as F
 from tarn.config import DEFAULTS, Config
 from tarn.functions.vector import cosine
 from tarn.operators import bm25, vector_search
+from tarn.storage import materialize
 
 KEYS = ["document_url", "chunk_index"]
 RANKED = ["question_id", *KEYS, "document_title", "text", "similarity", "rank"]
 
 
+def corpus_table(corpus: DataFrame) -> DataFrame:
+    """``corpus`` written once with its keyword tokens and their number, to be read by any number of searches, each only the columns it needs.
+
+    One that has been written so is taken as it is.
+    """
+    if getattr(corpus, "_tarn_path", None) and {"tokens", "length"} <= set(corpus.columns):
+        return corpus
+    columns = ["chunk_no", *KEYS, "document_title", "text", "embedding"]
+    return materialize(bm25.lengths(corpus.drop("tokens", "length"), columns), "corpus")
+
+
 def vector_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Config = DEFAULTS, dim: int = 64) -> DataFrame:
     """The ``k`` chunks most similar to each question by cosine."""
-    found = vector_search.top_k(corpus, questions, "chunk_no", "question_id", k, dim, tie=corpus.select("chunk_no", *KEYS))
-    rows = corpus.select(F.col("chunk_no").alias("id"), *KEYS, "document_title", "text")
-    return found.withColumnRenamed("query_id", "question_id").join(rows, "id").select(*RANKED)
+    return _nearest(corpus_table(corpus), questions, k, dim, ["document_title", "text"]).select(*RANKED)
+
+
+def _nearest(corpus: DataFrame, questions: DataFrame, k: int, dim: int, columns: list[str]) -> DataFrame:
+    found = vector_search.top_k(corpus, questions, "chunk_no", "question_id", k, dim, rows=corpus.select("chunk_no", *KEYS, *columns), order=KEYS)
+    return found.withColumnRenamed("query_id", "question_id")
 
 
 def _with_cosine(ranked: DataFrame, corpus: DataFrame, questions: DataFrame) -> DataFrame:
@@ -36,6 +51,7 @@ def _with_cosine(ranked: DataFrame, corpus: DataFrame, questions: DataFrame) ->
 
 def keyword_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Config = DEFAULTS, dim: int = 64) -> DataFrame:
     """The ``k`` best chunks of each question by BM25, with their cosine as similarity."""
+    corpus = corpus_table(corpus)
     hits = bm25.search(corpus, questions, KEYS, k, k1=config.bm25_k1, b=config.bm25_b)
     return _with_cosine(hits, corpus, questions)
 
@@ -55,8 +71,8 @@ def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, k: int, rrf_k:
 
 def hybrid_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Config = DEFAULTS, dim: int = 64) -> DataFrame:
     """The best ``k`` of both rankers' pools, fused by reciprocal ranks."""
-    pool = config.fusion_pool
-    vector = vector_ranked(corpus, questions, pool, config, dim)
+    corpus, pool = corpus_table(corpus), config.fusion_pool
+    vector = _nearest(corpus, questions, pool, dim, [])
     keyword = bm25.search(corpus, questions, KEYS, pool, k1=config.bm25_k1, b=config.bm25_b)
     return _with_cosine(reciprocal_rank_fusion(vector, keyword, k, config.rrf_k), corpus, questions)
 

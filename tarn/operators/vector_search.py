@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.storage import materialize, size_bytes
+
+#: Bytes of query blocks that are broadcast at a time; vectors hardly compress, so files are about as large as memory.
+BROADCAST_BYTES = 64 << 20
 #: Vectors of a block.
 BLOCK = 4096
 #: Decimals that similarities are compared to.
@@ -40,14 +44,24 @@ def blocks(df: DataFrame, key: str, vector: str, dim: int, unit: bool = True) ->
     return usable.mapInArrow(pack, _BLOCKS)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, dim: int, vector: str = "embedding", query_vector: str = "embedding", tie: DataFrame | None = None) -> DataFrame:
-    """``(query_id, id, similarity, rank)``: the ``k`` rows of ``corpus`` most similar to each query, similarities rounded to six decimals.
+def top_k(
+    corpus: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, dim: int, vector: str = "embedding", query_vector: str = "embedding",
+    rows: DataFrame | None = None, order: list[str] | None = None,
+) -> DataFrame:
+    """``(query_id, id, similarity, rank)`` and the columns of ``rows``: the ``k`` rows of ``corpus`` most similar to each query, similarities rounded to six decimals.
+
+    Keys are 64-bit integers. ``rows`` has a row a corpus key; it is joined once, to the few candidates that
+    are left of each query. Ties go by its columns ``order``, then by key. A query of length zero is 0
+    similar to everything.
 
-    Keys are 64-bit integers. Ties go by the columns of ``tie`` other than the key (a table with a row a
-    corpus key), then by key. A query of length zero is 0 similar to everything.
+    Every block of queries meets every block of the corpus: that is what exact search costs. The queries are
+    broadcast, as many at a time as ``BROADCAST_BYTES`` holds, so the corpus is never shuffled.
     """
     left = blocks(corpus, key, vector, dim)
-    right = blocks(queries, query_key, query_vector, dim).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    right = materialize(blocks(queries, query_key, query_vector, dim).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")), "query-blocks")
+    turns = max(1, -(-size_bytes(right) // BROADCAST_BYTES))
+    if turns > 1:
+        left = materialize(left, "corpus-blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,13 +76,17 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str, query_key: str, k: in
                     i, j = np.nonzero(s >= last[:, None] - 2 * 10.0**-DECIMALS)  # with all that rounding may tie
                     yield pa.RecordBatch.from_arrays([pa.array(query_ids[start + i]), pa.array(ids[j]), pa.array(s[i, j])], names=["query_id", "id", "similarity"])
 
-    pairs = left.crossJoin(right).mapInArrow(compare, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", DECIMALS))
-    # bring the candidates down to a few per query before the tie columns are joined
+    pairs = None
+    for turn in range(turns):
+        some = right if turns == 1 else right.filter(F.pmod(F.xxhash64("query_ids"), F.lit(turns)) == turn)
+        met = left.crossJoin(F.broadcast(some)).mapInArrow(compare, "query_id long, id long, similarity double")  # the measured queries, in blocks
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.withColumn("similarity", F.round("similarity", DECIMALS))
+    # bring the candidates down to a few per query before the other columns are joined
     near = W.partitionBy("query_id").orderBy(F.desc("similarity"))
     pairs = pairs.withColumn("__r", F.rank().over(near)).filter(F.col("__r") <= k).drop("__r")
-    order = []
-    if tie is not None:
-        order = [c for c in tie.columns if c != key]
-        pairs = pairs.join(tie.withColumnRenamed(key, "id"), "id")
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), *order, "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    more = [c for c in rows.columns if c != key] if rows is not None else []
+    if rows is not None:
+        pairs = pairs.join(rows.withColumnRenamed(key, "id"), "id")
+    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), *(order or []), "id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank", *more)

@@ -114,16 +114,42 @@ def _by_tier(texts: dict[str, str]) -> str:
     return f"CASE WHEN tier = 'related' THEN {_literal(texts['related'])} ELSE {_literal(texts['accepted'])} END"
 
 
-PROMPTED = rf"""{STORE}, {LOGGED},
-    evidence AS (SELECT l.run_id, l.rank_no, s.document_url, s.document_title, s.text, {_TIER.replace("similarity", "l.similarity")} AS tier
-        FROM logged l JOIN store s ON s.document_url = l.document_url AND s.chunk_index = l.chunk_index WHERE l.similarity >= 0.33),
-    chosen AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank_no) AS i FROM (SELECT *, min(tier) OVER (PARTITION BY run_id) AS best FROM evidence) WHERE tier = best),
+# from evidence (run_id, rank_no, document_url, document_title, text, tier) and asked (run_id, question) to prompts and what the stand-in model makes of them
+PROMPTS = rf"""chosen AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank_no) AS i FROM (SELECT *, min(tier) OVER (PARTITION BY run_id) AS best FROM evidence) WHERE tier = best),
     listed AS (SELECT run_id, tier, count(*) AS chunks, arg_min(coalesce(text, ''), i) AS first_text, arg_min(document_url, i) AS first_url,
         string_agg('[' || i || '] (from "' || coalesce(document_title, 'None') || '")' || chr(10) || '<excerpt>' || chr(10) || coalesce(text, '') || chr(10) || '</excerpt>', chr(10) || chr(10) ORDER BY i) AS excerpts
         FROM chosen GROUP BY run_id, tier),
     prompted AS (SELECT l.*, {_by_tier({"accepted": answering.SYSTEM_DIRECT, "related": answering.SYSTEM_RELATED})} AS system,
-        {_by_tier(answering.HEAD)} || chr(10) || excerpts || chr(10) || chr(10) || {_by_tier(answering.REMINDER)} || chr(10) || chr(10) || 'Question: ' || e.question AS prompt
-        FROM listed l JOIN answers a USING (run_id) JOIN eval_set e ON e.id = a.question_id)"""
+        {_by_tier(answering.HEAD)} || chr(10) || excerpts || chr(10) || chr(10) || {_by_tier(answering.REMINDER)} || chr(10) || chr(10) || 'Question: ' || question AS prompt
+        FROM listed l JOIN asked USING (run_id)),
+    made AS (SELECT *, CASE WHEN first_text = '' THEN 'I don''t know.' ELSE {_strip("left(first_text, 60) || ' [1]'")} END AS raw FROM prompted),
+    answered AS (SELECT run_id, CASE WHEN m.run_id IS NULL THEN 'I don''t know.' WHEN first_text = '' THEN raw WHEN tier = 'related' THEN {_literal(answering.RELATED_PREFIX)} || raw ELSE raw END AS answer,
+        CASE WHEN m.run_id IS NULL OR first_text = '' THEN '' ELSE first_url END AS cited_urls, coalesce(length(prompt), 0)::BIGINT AS prompt_tokens,
+        coalesce(CASE WHEN first_text = '' THEN 13 ELSE length(left(first_text, 60)) + 4 END, 0)::BIGINT AS completion_tokens,
+        CASE WHEN m.run_id IS NULL THEN 'no evidence' WHEN first_text = '' THEN 'refused by model' ELSE tier END AS outcome
+        FROM asked LEFT JOIN made m USING (run_id))"""
+PROMPTED = f"""{STORE}, {LOGGED},
+    evidence AS (SELECT l.run_id, l.rank_no, s.document_url, s.document_title, s.text, {_TIER.replace("similarity", "l.similarity")} AS tier
+        FROM logged l JOIN store s ON s.document_url = l.document_url AND s.chunk_index = l.chunk_index WHERE l.similarity >= 0.33),
+    asked AS (SELECT run_id, question FROM answers JOIN eval_set ON id = question_id), {PROMPTS}"""
+HITS = """firsts AS (SELECT question_id, document_url, min(rank) AS r FROM raw_vector GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY r, document_url) AS place FROM firsts),
+    hits AS (SELECT id, coalesce(bool_or(list_contains(expect_article_ids, document_url) AND place = 1), false) AS top1, coalesce(bool_or(list_contains(expect_article_ids, document_url) AND place <= 5), false) AS top5
+        FROM eval_set LEFT JOIN placed ON question_id = id WHERE len(expect_article_ids) > 0 GROUP BY id)"""
+
+
+def _evaluated(ctes: str, ranked: str) -> str:
+    """A question set answered from ``ranked`` and measured; hits are those of the plain vector ranking."""
+    raw = _vector(15).replace("vector AS (", "raw_vector AS (").replace("vectors AS", "raw_vectors AS").replace("vectors s)", "raw_vectors s)").replace("asked_raw_vectors", "asked_raw").replace("asked_vectors q", "asked_raw q")
+    return f"""WITH {ctes}, tiered AS ({_tiers(ranked)}), {raw}, {HITS},
+        evidence AS (SELECT t.question_id AS run_id, t.rank AS rank_no, s.document_url, s.document_title, s.text, t.tier FROM tiered t JOIN store s USING (document_url, chunk_index)),
+        asked AS (SELECT id::BIGINT AS run_id, question FROM eval_set), {PROMPTS},
+        graded AS (SELECT a.*, e.type, {REFUSED} AS refused, CASE WHEN e.type = 'unanswerable' THEN {REFUSED} ELSE
+            coalesce(len(list_filter(e.must_contain, lambda p: NOT contains({_normalize("coalesce(answer, '')")}, {_normalize("p")}))) = 0, true) END AS correct
+            FROM answered a JOIN eval_set e ON e.id = a.run_id)
+        SELECT count(*) AS total, count(*) FILTER (correct) AS answer_hits, count(*) FILTER (type = 'unanswerable') AS unanswerable_total, count(*) FILTER (type = 'unanswerable' AND refused) AS refusal_hits,
+            sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(prompt_tokens) / 1e6 * 0.15e0 + sum(completion_tokens) / 1e6 * 0.6e0, 8) AS cost_usd,
+            (SELECT count(*) FROM hits) AS retrieval_graded, (SELECT count(*) FILTER (top1) FROM hits) AS top1_hits, (SELECT count(*) FILTER (top5) FROM hits) AS top5_hits FROM graded"""
 
 
 def statements() -> dict[str, str]:
@@ -138,7 +164,10 @@ def statements() -> dict[str, str]:
             SELECT chunk_id, chunk_no FROM ranked WHERE r = 1 AND NOT EXISTS (FROM chunks c WHERE c.chunk_no % 2 = 1 AND c.document_url = ranked.document_url)""",
         "documents_listed": f"WITH {STORE}, {LISTED} SELECT title, url FROM listed",
         "documents_filtered": f"WITH {STORE}, {LISTED} SELECT title, url FROM listed WHERE contains(lower(title), 'moth')",
-        "documents_by_host": f"WITH {STORE}, {LISTED} SELECT {NETLOC.format('url')} AS host, count(*) AS documents, md5(coalesce(string_agg(title, '|' ORDER BY title) FILTER (title IS NOT NULL), '')) AS titles_md5 FROM listed GROUP BY 1",
+        "documents_by_host": f"WITH {STORE}, {LISTED} SELECT {NETLOC.format('url')} AS host, count(*) OVER (PARTITION BY {NETLOC.format('url')}) AS documents, title, url FROM listed",
+        "documents_shown": f"WITH {STORE}, {LISTED} SELECT count(*) FILTER (contains(lower(title), 'moth')) AS shown, count(*) AS total, format('{{:,}}', count(*) FILTER (contains(lower(title), 'moth'))) || ' of ' || format('{{:,}}', count(*)) || ' documents' AS caption FROM listed",
+        "store_banner": "SELECT count(DISTINCT chunk_id) AS chunks, format('{:,}', count(DISTINCT chunk_id)) || ' chunks' AS caption FROM chunks",
+        "store_inserts": f"""SELECT {fold_key} AS chunk_id, document_title, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY {fold_key} ORDER BY chunk_no % 3 DESC, ingested_at DESC NULLS LAST, chunk_no DESC) AS r FROM chunks) WHERE r = 1""",
         "url_hosts": f"SELECT {NETLOC.format('url')} AS host, count(*) AS n FROM documents GROUP BY 1",
         "text_previews": "SELECT doc_id, left(text, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS preview, format('{:,}', length(text)) AS n_chars FROM documents WHERE text IS NOT NULL",
         "text_units": f"WITH {UNITS} SELECT doc_id, (i - 1)::BIGINT AS unit_no, len({_words('unit')})::BIGINT AS n_words, md5(unit) AS unit_md5 FROM unit_rows",
@@ -149,10 +178,24 @@ def statements() -> dict[str, str]:
         "ingest_report": f"WITH RECURSIVE {_packed(200, 40)} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks FROM chunked",
         "documents_new": "SELECT doc_id, url FROM documents d WHERE NOT EXISTS (FROM chunks c WHERE c.document_url = d.url)",
         "stream_upsert": f"WITH {STORE} SELECT {fold_key} AS chunk_id, chunk_index::BIGINT AS chunk_index, md5(text) AS text_md5 FROM store",
+        "ingest_full": f"""WITH RECURSIVE {_packed(200, 40)}, keyed AS (SELECT d.url || '::' || c.chunk_index AS chunk_id, c.chunk_index, d.title AS document_title, c.text, row_number() OVER (PARTITION BY d.url, c.chunk_index ORDER BY doc_id DESC) AS r
+            FROM chunked c JOIN documents d USING (doc_id)) SELECT chunk_id, chunk_index, document_title, md5(text) AS text_md5 FROM keyed WHERE r = 1""",
+        "ingest_incremental": f"""WITH RECURSIVE {STORE}, {_packed(200, 40)}, keyed AS (SELECT d.url || '::' || c.chunk_index AS chunk_id, c.chunk_index, c.text, row_number() OVER (PARTITION BY d.url, c.chunk_index ORDER BY doc_id DESC) AS r
+            FROM chunked c JOIN documents d USING (doc_id) WHERE NOT EXISTS (FROM chunks s WHERE s.document_url = d.url))
+            SELECT chunk_id, chunk_index, md5(text) AS text_md5 FROM keyed WHERE r = 1 UNION ALL SELECT {fold_key}, chunk_index::BIGINT, md5(text) FROM store""",
+        "embedded_chunks": f"""WITH {STORE}, {TOKENS}, h AS (SELECT chunk_no, md5(t) AS m FROM (SELECT chunk_no, unnest(w) AS t FROM tokens)),
+            p AS (SELECT chunk_no, ('0x' || substr(m, 1, 8))::UBIGINT % 64 AS place, sum(CASE WHEN ('0x' || substr(m, 9, 1))::INT < 8 THEN 1 ELSE -1 END) AS s FROM h GROUP BY ALL)
+            SELECT chunk_no, place::BIGINT AS place, (s::DOUBLE / sqrt(sum(s * s) OVER (PARTITION BY chunk_no)::DOUBLE))::FLOAT::DOUBLE AS value FROM p QUALIFY s <> 0""",
         "corpus_statistics": f"WITH {STORE}, {TOKENS}, {STATS} SELECT n_docs, round(mean, 6) AS mean_length FROM stats",
         "term_statistics": f"WITH {STORE}, {TOKENS}, {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY term",
         "term_idf": f"WITH {STORE}, {TOKENS}, {POSTINGS}, {STATS}, {IDF} SELECT term, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {_bm25(5)} SELECT question_id::BIGINT AS question_id, document_url, chunk_index::BIGINT AS chunk_index, bm25, rank FROM keyword",
+        "keyword_index_topk": f"WITH {_bm25(5)} SELECT question_id::BIGINT AS question_id, document_url, chunk_index::BIGINT AS chunk_index, bm25, rank FROM keyword",
+        "evidence_table": f"""WITH {STORE}, {_vector(5)}, tiered AS ({_tiers('SELECT * FROM vector')})
+            SELECT question_id, tier, rank, format('{{:.3f}}', round(similarity::DECIMAL(18, 6), 3)::DOUBLE) AS similarity, document_title AS title, left(text, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS preview
+            FROM tiered JOIN store USING (document_url, chunk_index)""",
+        "evaluate_vector": _evaluated(f"{STORE}, {_vector(5)}", "SELECT * FROM vector"),
+        "evaluate_hybrid": _evaluated(f"{_bm25(15).replace('asked AS', 'asked_terms AS').replace('FROM asked JOIN', 'FROM asked_terms JOIN')}, {_vector(15)}, {_RRF}", _with_cosine("(SELECT * FROM fused WHERE rank <= 5)")),
         "adjacent_cosine": f"""WITH {STORE}, v AS (SELECT *, embedding::DOUBLE[] AS e FROM store WHERE len(embedding) = 64)
             SELECT a.chunk_no, b.chunk_no AS next_no, {_COSINE.format(a="a.e", b="b.e")} AS similarity FROM v a JOIN v b ON b.document_url = a.document_url AND b.chunk_index = a.chunk_index + 1""",
         "vector_topk": f"WITH {STORE}, {_vector(5)} SELECT question_id::BIGINT AS question_id, document_url, chunk_index::BIGINT AS chunk_index, similarity, rank FROM vector",
@@ -171,12 +214,7 @@ def statements() -> dict[str, str]:
             FROM eval_set LEFT JOIN placed ON question_id = id WHERE len(expect_article_ids) > 0 GROUP BY id""",
         "logged_tiers": f"WITH {LOGGED} SELECT retrieval_mode, {_TIER} AS tier, count(*) AS chunks, count(DISTINCT run_id) AS runs FROM logged WHERE similarity >= 0.33 GROUP BY ALL",
         "run_prompts": f"WITH {PROMPTED} SELECT run_id, tier, chunks, md5(system || chr(10) || prompt) AS prompt_md5 FROM prompted",
-        "ask_runs": f"""WITH {PROMPTED}, made AS (SELECT *, CASE WHEN first_text = '' THEN 'I don''t know.' ELSE {_strip("left(first_text, 60) || ' [1]'")} END AS raw FROM prompted)
-            SELECT a.run_id, CASE WHEN m.run_id IS NULL THEN 'I don''t know.' WHEN first_text = '' THEN raw WHEN tier = 'related' THEN {_literal(answering.RELATED_PREFIX)} || raw ELSE raw END AS answer,
-              CASE WHEN m.run_id IS NULL OR first_text = '' THEN '' ELSE first_url END AS cited_urls, coalesce(length(prompt), 0)::BIGINT AS prompt_tokens,
-              coalesce(CASE WHEN first_text = '' THEN 13 ELSE length(left(first_text, 60)) + 4 END, 0)::BIGINT AS completion_tokens,
-              CASE WHEN m.run_id IS NULL THEN 'no evidence' WHEN first_text = '' THEN 'refused by model' ELSE tier END AS outcome
-            FROM answers a JOIN eval_set e ON e.id = a.question_id LEFT JOIN made m ON m.run_id = a.run_id""",
+        "ask_runs": f"WITH {PROMPTED} SELECT run_id, answer, cited_urls, prompt_tokens, completion_tokens, outcome FROM answered",
         "citation_indices": f"""WITH {LOGGED}, sizes AS (SELECT run_id, count(*)::INT AS n FROM logged GROUP BY run_id),
             c AS (SELECT run_id, n, list_sort(list_distinct(list_filter({CITED}, lambda i: i >= 1 AND i <= n))) AS v FROM answers JOIN sizes USING (run_id))
             SELECT run_id, array_to_string(CASE WHEN len(v) > 0 THEN v ELSE range(1, n + 1)::INT[] END, ',') AS cited FROM c""",

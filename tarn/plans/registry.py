@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.config import Config
 from tarn.functions import text as fn
 from tarn.functions.vector import cosine
 from tarn.operators import answering, bm25, browse, chunking, evaluation, retrieval, vector_search
+from tarn.operators.embedding import embed, hashing_model
 from tarn.plans import oracle
-from tarn.plans.ingest import new_documents
+from tarn.plans.ingest import ingest, ingest_new, new_documents
 from tarn.sources.store import ChunkStore, last_writes, upsert, without_stale
 from tarn.storage import shared_dir
 from tarn.streaming.ingest import upsert_stream
@@ -35,6 +37,15 @@ def store(spark: SparkSession, sf: str) -> DataFrame:
     return last_writes(read(spark, sf, "chunks"))
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The current store, written once for a query that reads it several times."""
+    return retrieval.corpus_table(store(spark, sf))
+
+
+def _new_store(spark: SparkSession) -> ChunkStore:
+    return ChunkStore(spark, f"{shared_dir(spark)}/store-{os.urandom(8).hex()}")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
     return read(spark, sf, "eval_set").withColumn("question_id", F.col("id").cast("long")).join(vectors, "question_id", "left")
@@ -82,7 +93,15 @@ def documents_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_by_host(spark: SparkSession, sf: str) -> DataFrame:
-    return browse.by_host(browse.list_documents(store(spark, sf))).select("host", "documents", F.md5(F.array_join("titles", "|")).alias("titles_md5"))
+    return browse.by_host(browse.list_documents(store(spark, sf)))
+
+
+def documents_shown(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.shown_counts(browse.list_documents(store(spark, sf)), "Moth")
+
+
+def store_banner(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.banner(store(spark, sf))
 
 
 def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,19 +109,19 @@ def url_hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_previews(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", fn.preview(F.col("text")).alias("preview"), F.format_number(F.length("text"), 0).alias("n_chars"))
+    return read(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", fn.preview(F.col("text")).alias("preview"), fn.thousands(F.length("text")).alias("n_chars"))
 
 
 # --- ingest ------------------------------------------------------------------------------------------
 
 
 def text_units(spark: SparkSession, sf: str) -> DataFrame:
-    units = read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.units(F.col("text"))).alias("unit_no", "unit"))
+    units = read(spark, sf, "documents").select("doc_id", F.posexplode_outer(chunking.units(F.col("text"))).alias("unit_no", "unit")).filter("unit_no IS NOT NULL")
     return units.select("doc_id", *_long("unit_no"), F.size(fn.words(F.col("unit"))).cast("long").alias("n_words"), F.md5("unit").alias("unit_md5"))
 
 
 def text_windows(spark: SparkSession, sf: str) -> DataFrame:
-    cut = read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.windows(fn.words(F.col("text")), 200, 40)).alias("window_no", "w"))
+    cut = read(spark, sf, "documents").select("doc_id", F.posexplode_outer(chunking.windows(fn.words(F.col("text")), 200, 40)).alias("window_no", "w")).filter("window_no IS NOT NULL")
     return cut.select("doc_id", *_long("window_no"), F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("text"))
 
 
@@ -115,14 +134,46 @@ def packed_small_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = read(spark, sf, "documents").select(F.size(chunking.pack(F.col("text"))).alias("n"))
-    return sizes.agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("chunks"))
+    return chunking.chunk_counts(read(spark, sf, "documents")).agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("chunks"))
 
 
 def documents_new(spark: SparkSession, sf: str) -> DataFrame:
     return new_documents(read(spark, sf, "documents"), read(spark, sf, "chunks")).select("doc_id", "url")
 
 
+def _small_config() -> Config:
+    return Config(embedding_dim=DIM)
+
+
+def ingest_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents chunked, embedded and stored; of a page fetched twice the later one is kept."""
+    target = _new_store(spark)
+    ingest(target, read(spark, sf, "documents"), config=_small_config(), load=lambda: hashing_model(DIM), order="doc_id")
+    return target.read().select("chunk_id", *_long("chunk_index"), "document_title", F.md5("text").alias("text_md5"))
+
+
+def ingest_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk log stored, then the documents that it doesn't have."""
+    target = _new_store(spark)
+    target.insert_log(read(spark, sf, "chunks"))
+    ingest_new(target, read(spark, sf, "documents"), _small_config(), lambda: hashing_model(DIM), order="doc_id")
+    return target.read().select("chunk_id", *_long("chunk_index"), F.md5("text").alias("text_md5"))
+
+
+def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors that the default model gives stored texts, a row a value that isn't zero."""
+    vectors = embed(store(spark, sf).select("chunk_no", "text"), output="v", load=lambda: hashing_model(DIM))
+    return vectors.select("chunk_no", F.posexplode("v").alias("place", "value")).filter("value <> 0").select("chunk_no", *_long("place"), F.col("value").cast("double").alias("value"))
+
+
+def store_inserts(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk log written in three inserts, by the remainders of its numbers."""
+    target, log = _new_store(spark), read(spark, sf, "chunks")
+    for rest in range(3):
+        target.insert(log.filter(F.col("chunk_no") % 3 == rest), order=("ingested_at", "chunk_no"))
+    return target.read().select("chunk_id", "document_title", F.md5("text").alias("text_md5"))
+
+
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk log streamed into a store from its files."""
     path, schema = f"{sf}/chunks.parquet", read(spark, sf, "chunks").schema
@@ -155,6 +206,12 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(store(spark, sf), questions(spark, sf), KEYS, 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
 
 
+def keyword_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from postings that are kept for many searches."""
+    index = bm25.build(store(spark, sf), KEYS)
+    return bm25.search(index, questions(spark, sf), KEYS, 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
+
+
 # --- vector search and retrieval ---------------------------------------------------------------------
 
 
@@ -166,20 +223,20 @@ def adjacent_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = retrieval.vector_ranked(store(spark, sf), questions(spark, sf), 5, dim=DIM)
+    ranked = retrieval.vector_ranked(corpus(spark, sf), questions(spark, sf), 5, dim=DIM)
     return ranked.select("question_id", "document_url", *_long("chunk_index"), "similarity", *_long("rank"))
 
 
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The five chunks most similar to every twentieth one, itself included."""
-    rows = store(spark, sf)
+    rows = corpus(spark, sf)
     found = vector_search.top_k(rows, rows.filter("chunk_no % 20 = 0"), "chunk_no", "chunk_no", 5, DIM)
     return found.select(F.col("query_id").alias("chunk_no"), F.col("id").alias("neighbour_no"), "similarity", *_long("rank"))
 
 
 def _tiered(mode: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        found = retrieval.retrieve(store(spark, sf), questions(spark, sf), mode=mode, dim=DIM)
+        found = retrieval.retrieve(corpus(spark, sf), questions(spark, sf), mode=mode, dim=DIM)
         return found.select("question_id", "document_url", *_long("chunk_index"), "similarity", *_long("rank"), "tier")
 
     return query
@@ -187,27 +244,32 @@ def _tiered(mode: str) -> Query:
 
 def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best chunks by keyword, with the cosine that decides their tier."""
-    ranked = retrieval.keyword_ranked(store(spark, sf), questions(spark, sf), 5, dim=DIM)
+    ranked = retrieval.keyword_ranked(corpus(spark, sf), questions(spark, sf), 5, dim=DIM)
     return ranked.select("question_id", "document_url", *_long("chunk_index"), F.coalesce("similarity", F.lit(-2.0)).alias("similarity"), *_long("rank"))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    corpus, asked = store(spark, sf), questions(spark, sf)
-    fused = retrieval.reciprocal_rank_fusion(retrieval.vector_ranked(corpus, asked, 15, dim=DIM), bm25.search(corpus, asked, KEYS, 15), 30)
+    rows, asked = corpus(spark, sf), questions(spark, sf)
+    fused = retrieval.reciprocal_rank_fusion(retrieval.vector_ranked(rows, asked, 15, dim=DIM), bm25.search(rows, asked, KEYS, 15), 30)
     return fused.select("question_id", "document_url", *_long("chunk_index"), *[F.coalesce(r, F.lit(0)).cast("long").alias(r) for r in ("vector_rank", "keyword_rank")], F.round("rrf", 9).alias("rrf"), *_long("rank"))
 
 
 def first_documents(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = retrieval.vector_ranked(store(spark, sf), questions(spark, sf), 15, dim=DIM)
+    ranked = retrieval.vector_ranked(corpus(spark, sf), questions(spark, sf), 15, dim=DIM)
     return retrieval.first_documents(ranked).select("question_id", "document_url", *_long("place"))
 
 
 def vector_hits(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    firsts = retrieval.first_documents(retrieval.vector_ranked(store(spark, sf), asked, 15, dim=DIM))
+    firsts = retrieval.first_documents(retrieval.vector_ranked(corpus(spark, sf), asked, 15, dim=DIM))
     return evaluation.retrieval_hits(firsts, asked).select("question_id", "top1", "top5")
 
 
+def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What every question's answer rests on, as a reader is shown it."""
+    return browse.evidence(retrieval.retrieve(corpus(spark, sf), questions(spark, sf), mode="vector", dim=DIM)).withColumn("rank", F.col("rank").cast("long"))
+
+
 # --- answers -----------------------------------------------------------------------------------------
 
 
@@ -290,14 +352,22 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _evaluated(mode: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        """The question set answered from the store by the stand-in model, and measured."""
+        return evaluation.evaluate(store(spark, sf), questions(spark, sf), mode=mode, dim=DIM).drop("avg_seconds_per_query")
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     plain = [
-        store_current, store_count, store_upsert, store_without_stale, documents_listed, documents_filtered, documents_by_host, url_hosts, text_previews,
-        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert,
-        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, rrf_fusion, first_documents, vector_hits,
+        store_current, store_count, store_upsert, store_without_stale, documents_listed, documents_filtered, documents_by_host, documents_shown, store_banner, store_inserts, url_hosts, text_previews,
+        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert, ingest_full, ingest_incremental, embedded_chunks,
+        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_index_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, rrf_fusion, first_documents, vector_hits, evidence_table,
         logged_tiers, run_prompts, ask_runs, citation_indices, citation_dedupe, response_parsed, answer_grades, phrases_normalized, run_costs, evaluation_report,
     ]
-    return {f.__name__: f for f in plain} | {f"{mode}_topk_tiers": _tiered(mode) for mode in ("vector", "hybrid")}
+    return {f.__name__: f for f in plain} | {f"{mode}_topk_tiers": _tiered(mode) for mode in ("vector", "hybrid")} | {f"evaluate_{mode}": _evaluated(mode) for mode in ("vector", "hybrid")}
 
 
 def oracle_sql() -> dict[str, str]:

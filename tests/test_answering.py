@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tarn import cli
 from tarn.config import Config
 from tarn.operators import answering, evaluation
+from tarn.plans.ingest import ingest
+from tarn.sources.store import ChunkStore
 
 TIERED = "question_id long, document_url string, document_title string, chunk_index int, text string, rank int, tier string"
 
@@ -79,7 +81,26 @@ def test_http_client_retries_429():
         return b"{}"
 
     assert answering.http_client(config, send, waits.append)("s", "p") == "{}"
-    assert waits == [15.0, 30.0] and sent[0]["temperature"] == 0 and [m["role"] for m in sent[0]["messages"]] == ["system", "user"]
+    assert waits == [15.0, 30.0]
+    sent.clear()
+    waits.clear()
+
+    def asks(request, timeout):
+        sent.append(json.loads(request.data))
+        if len(sent) < 3:
+            raise urllib.error.HTTPError("u", 429, "slow", {"Retry-After": "20"}, io.BytesIO())
+        return b"{}"
+
+    assert answering.http_client(config, asks, waits.append)("s", "p") == "{}" and waits == [20.0, 30.0]
+    waits.clear()
+
+    def always(request, timeout):
+        raise urllib.error.HTTPError("u", 429, "slow", {}, io.BytesIO())
+
+    with pytest.raises(urllib.error.HTTPError):
+        answering.http_client(config, always, waits.append)("s", "p")
+    assert waits == [15.0, 30.0, 60.0, 120.0]
+    assert sent[0]["temperature"] == 0 and [m["role"] for m in sent[0]["messages"]] == ["system", "user"]
 
     def fail(request, timeout):
         raise urllib.error.HTTPError("u", 500, "down", {}, io.BytesIO())
@@ -105,27 +126,31 @@ def test_evaluation(spark):
     assert evaluation.mean_seconds(spark.createDataFrame([], "seconds double")).first()[0] == 0.0
 
 
-def test_cli_output_and_loop():
-    lines = []
-    cli.show({"answer": "A", "citations": []}, lines.append)
-    cli.show({"answer": "B", "citations": [{"title": "T", "url": "U"}]}, lines.append)
-    assert lines == ["\nA", "\nB", "\nSources:", "  - T (U)"]
-    inputs, seen = iter(["", "  ", "one", "QUIT", "two"]), []
-
-    def answer(question):
-        seen.append(question)
-        return {"answer": question, "citations": []}
+def test_cli(spark, tmp_path):
+    assert list(cli.typed(["", "  ", " one ", "two", "QUIT", "three"])) == ["one", "two"] and list(cli.typed([])) == []
+    lines = iter(["one", "two"])
 
-    cli.interactive(answer, lambda prompt: next(inputs), lines.append)
-    assert seen == ["one"]
+    def read(prompt):
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
 
-    def ended(prompt):
-        raise EOFError
-
-    cli.interactive(answer, ended, lines.append)
+    assert list(cli.prompted(read)) == ["one", "two"]
+    answers = spark.createDataFrame([(0, "A", []), (1, "B", [("T", "U"), (None, "V")])], "question_id long, answer string, citations array<struct<title:string,url:string>>")
+    assert [r["text"] for r in cli.rendered(answers).orderBy("question_id").collect()] == ["A", "B\n  1. T <U>\n  2. V <V>"]
     assert Config.from_env({"TARN_TOP_K": "9", "TARN_RETRIEVAL_MODE": "hybrid"}).top_k == 9
     with pytest.raises(ValueError):
         Config.from_env({"TARN_TOP_K": "x"})
+    with pytest.raises(SystemExit):
+        cli.main([])
+
+
+def test_cli_asks_a_store(spark, tmp_path):
+    store, shown = ChunkStore(spark, f"{tmp_path}/s"), []
+    ingest(store, spark.createDataFrame([("u1", "Tigers", "tigers live in Nepal"), ("u2", "Kale", "kale is green")], "url string, title string, text string"))
+    cli.main([f"{tmp_path}/s", "tigers", "Nepal"], shown.append)
+    assert shown == ["tigers live in Nepal [1]\n  1. Tigers <u1>"]
 
 
 def test_pacing_and_timing(spark):
@@ -135,6 +160,9 @@ def test_pacing_and_timing(spark):
         client.before()
         client("s", "p")
     assert waits == [5.0, 5.0]
+    prompts = spark.createDataFrame([(i, "s", f"p{i}") for i in range(20)], "question_id long, system string, prompt string").repartition(6)
+    plan = answering.complete(prompts, answering.paced(says("x"), 0.0))
+    assert plan.select(F.spark_partition_id()).distinct().count() == 1 and plan.count() == 20  # one task: the pace is the job's
     rows = [(1, "u", "T", 0, "x", 1, "accepted")]
     got = {r["question_id"]: r["seconds"] for r in answering.ask(tiered(spark, rows), asked(spark, 1, 2), says("Fact [1].")).collect()}
     assert got[2] == 0.0 and 0 <= got[1] < 5
@@ -149,9 +177,18 @@ def test_whole_evaluation(spark):
         [(1, "tigers", ["u1"], ["1939"], "single", [1.0, 0.1]), (2, "kale?", [], [], "unanswerable", [-1.0, -1.0]), (3, "kale", ["u1"], ["no"], "single", [0.0, 1.0])],
         "question_id long, question string, expect_article_ids array<string>, must_contain array<string>, type string, embedding array<float>",
     )
-    row = evaluation.evaluate(corpus, questions, dim=2).first().asDict()
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        ask = answering.first_excerpt_client()
+        return lambda system, prompt: calls.add(1) or ask(system, prompt)
+
+    row = evaluation.evaluate(corpus, questions, dim=2, client=counted).first().asDict()
+    assert calls.value == 2  # one a question with evidence
     assert (row["total"], row["retrieval_graded"], row["top1_hits"], row["top5_hits"]) == (3, 2, 1, 2)
     assert (row["answer_hits"], row["unanswerable_total"], row["refusal_hits"]) == (2, 1, 1)
+    hybrid = evaluation.evaluate(corpus, questions, dim=2, mode="keyword").first()
+    assert (hybrid["top1_hits"], hybrid["top5_hits"]) == (1, 2)  # graded by vectors whatever mode answers
     lines = evaluation.report(row)
     assert lines[1] == "First document expected: 1/2 (50%)" and lines[3] == "Answers correct: 2/3 (67%)"
     empty = evaluation.evaluate(corpus, questions.limit(0), dim=2).first()

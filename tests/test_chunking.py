@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from tarn.operators import chunking
 
 def chunks(spark, texts, size, overlap):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    return [r["c"] for r in df.select("i", chunking.pack(F.col("text"), size, overlap).alias("c")).orderBy("i").collect()]
+    packed = chunking.chunk_counts(chunking.pack(df, "text", "c", size, overlap), "text", "n", size, overlap).orderBy("i").collect()
+    assert [r["n"] for r in packed] == [len(r["c"]) for r in packed]
+    return [r["c"] for r in packed]
 
 
 def w(n, prefix="word"):
@@ -47,10 +50,20 @@ def test_vectors(spark):
         assert chunks(spark, [c[0] for c in some], size, overlap) == [c[3] for c in some]
 
 
-def test_bounds():
+def test_bounds(spark):
+    df = spark.createDataFrame([("x",)], "text string")
     for size, overlap in ((10, 10), (10, 15), (10, -1), (0, 0)):
         with pytest.raises(ValueError):
-            chunking.pack(F.col("x"), size, overlap)
+            chunking.pack(df, "text", "c", size, overlap)
+
+
+def test_very_many_units_take_linear_time():
+    times = []
+    for n in (100_000, 1_000_000):
+        began = time.perf_counter()
+        assert len(chunking.stretches([37] * n, 200, 40)) > n // 5
+        times.append(time.perf_counter() - began)
+    assert times[1] < 30 * max(times[0], 0.02)
 
 
 def plain(text, size, overlap):
@@ -108,4 +121,4 @@ def test_chunk_rows_and_words(spark):
 def test_one_narrow_stage(spark):
     df = spark.createDataFrame([("u", "t", "a b")], "url string, title string, text string")
     plan = chunking.chunk_documents(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan  # of a text only the sizes of its units go to Python

@@ -54,6 +54,32 @@ def test_vector_top_k_against_numpy(spark):
     assert vector_search.top_k(docs.limit(0), asked, "id", "q", 6, 8).count() == 0
 
 
+def test_queries_in_several_turns(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))], "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 8)))], "q long, embedding array<double>").repartition(6)
+    whole = sorted(map(tuple, vector_search.top_k(docs, asked, "id", "q", 3, 8).collect()))
+    monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 2000)
+    assert sorted(map(tuple, vector_search.top_k(docs, asked, "id", "q", 3, 8).collect())) == whole and len(whole) == 120
+
+
+def test_kept_postings_give_the_same(spark, monkeypatch):
+    docs = corpus(spark, [(" ".join(f"w{(i * j) % 17}" for j in range(1, 9)), None) for i in range(50)])
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w16 nothing"), (3, "")], "question_id long, question string")
+    want = sorted(map(tuple, bm25.search(docs, asked, ["document_url"]).collect()))
+    index = bm25.build(docs, ["document_url"])
+    for most in (bm25.FILTER_TERMS, 1):
+        monkeypatch.setattr(bm25, "FILTER_TERMS", most)
+        assert sorted(map(tuple, bm25.search(index, asked, ["document_url"]).collect())) == want and want
+
+
+def test_a_corpus_is_read_once(spark):
+    docs = retrieval.corpus_table(corpus(spark, [("tiger", [1.0, 0.0])]))
+    assert retrieval.corpus_table(docs) is docs
+    plan = retrieval.hybrid_ranked(docs, ask(spark), 5, dim=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 7  # narrow reads of written tables: vectors, keys, lengths, postings, terms, questions, and the rows of the few found
+
+
 def test_tiers(spark):
     rows = spark.createDataFrame([(1, 0.9), (2, 0.2), (3, 0.4), (4, 0.05), (5, 0.35), (6, None)], "rank int, similarity double")
     got = {r["rank"]: r["tier"] for r in retrieval.tiers(rows, 0.35, 0.15).collect()}

@@ -154,7 +154,17 @@ def test_eval_set(spark, tmp_path):
 def test_browser(spark):
     docs = spark.createDataFrame([("Tiger moth", "https://a.example/1"), (None, "https://a.example/2"), ("Kale", "https://b.example/3")], "title string, url string")
     assert browse.filter_titles(docs, "TIGER").count() == 1 and browse.filter_titles(docs, "").count() == 3
-    assert {tuple(map(str, r)) for r in browse.by_host(docs).collect()} == {("a.example", "2", "['Tiger moth']"), ("b.example", "1", "['Kale']")}
+    assert [tuple(r) for r in browse.by_host(docs).collect()] == [
+        ("a.example", 2, "Tiger moth", "https://a.example/1"), ("a.example", 2, None, "https://a.example/2"), ("b.example", 1, "Kale", "https://b.example/3"),
+    ]
+    assert [tuple(browse.shown_counts(docs, search).first())[:2] for search in ("TIGER", "", None, "no such")] == [(1, 3), (3, 3), (3, 3), (0, 3)]
+    assert browse.shown_counts(docs.limit(0), "x").first()["caption"] == "0 of 0 documents" and browse.banner(spark.range(12345)).first()["caption"] == "12,345 chunks"
+
+
+def test_evidence(spark):
+    rows = [(1, "related", 2, 0.33999, None, "abcdef"), (1, "accepted", 1, 0.7005, "T", None)]
+    df = spark.createDataFrame(rows, "question_id long, tier string, rank int, similarity double, document_title string, text string")
+    assert [tuple(r) for r in browse.evidence(df, 3).collect()] == [(1, "accepted", 1, "0.701", "T", None), (1, "related", 2, "0.340", None, "abc...")]
 
 
 def test_stream_upserts(spark, tmp_path):
