@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # What Python's str.split and str.strip take as white space, for Java's regular expressions.
 SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: The same characters, to be trimmed.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Characters besides which white space is what Java's ``\\s`` takes, which it splits at three times as fast.
+_BEYOND_ASCII = r"[^\x00-\x1b\x20-\x7e]"
+
 # Punctuation that grading takes as equal. Fractions become several characters.
 DASHES = "‐‑‒–—"
 QUOTES = "‘’“”"
@@ -23,12 +28,13 @@ REFUSALS = ("i don't know", "i do not know")
 
 def words(text: Column) -> Column:
     """What lies between white space, as an array; null for null."""
-    return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
+    split = F.when(F.regexp_like(text, F.lit(_BEYOND_ASCII)), F.split(text, f"[{SPACE}]+", -1)).otherwise(F.split(text, r"\s+", -1))
+    return F.filter(split, lambda w: w != "")
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def keyword_tokens(text: Column) -> Column:

@@ -82,11 +82,15 @@ def _asked(questions: DataFrame, question: str, question_id: str) -> DataFrame:
 
 
 def search(
-    corpus: DataFrame | Index, questions: DataFrame, keys: list[str], k: int = 5, question: str = "question", question_id: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75
-) -> DataFrame:
-    """``(question_id, *keys, bm25, rank)``: up to ``k`` documents a question that share a term with it, best first.
-
-    A term counts once however often the question repeats it. Scores equal to six decimals go by ``keys``.
+    corpus: DataFrame | Index, questions: DataFrame, keys: list[str], k: int = 5, question: str = "question", question_id: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75,
+    rows: DataFrame | None = None, order: list[str] | None = None,
+) -> DataFrame:
+    """``(question_id, *keys, bm25, rank)`` and the columns of ``rows``: up to ``k`` documents a question that share a term with it, best first.
+
+    A term counts once however often the question repeats it. Scores equal to six decimals go by the columns
+    ``order`` of ``rows`` (a row a document, joined once to the few that are left of each question), then by
+    ``keys``. Postings are dealt by document: its scores for all questions are summed up and cut to
+    the best where they lie, so what is shuffled after that is ``k`` rows a question and task.
     """
     asked = _asked(questions, question, question_id)
     if isinstance(corpus, Index):
@@ -96,11 +100,15 @@ def search(
     else:
         sized = lengths(corpus, keys, text)
         posted = materialize(postings(sized, keys, asked.select("term").distinct()), "asked-postings")  # read for the terms and for the scores
-        frequent, stats = materialize(document_frequencies(posted), "asked-terms"), statistics(sized)
+        frequent, stats = document_frequencies(posted), statistics(sized)
     weights = frequent.crossJoin(F.broadcast(stats)).select("term", "mean_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
-    if not isinstance(corpus, Index) and size_bytes(frequent) <= BROADCAST_BYTES:
-        weights = F.broadcast(weights)
-    scored = posted.join(asked.join(weights, "term"), "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
+    wanted = materialize(asked.join(weights, "term"), "asked-terms")
+    side = F.broadcast(wanted) if size_bytes(wanted) <= BROADCAST_BYTES else wanted
+    scored = posted.repartition(*keys).join(side, "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
     sums = scored.groupBy(question_id, *keys).agg(F.round(F.sum("score"), DECIMALS).alias("bm25"))
-    best = W.partitionBy(question_id).orderBy(F.desc("bm25"), *keys)
-    return sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    near = W.partitionBy(question_id).orderBy(F.desc("bm25"))
+    best = sums.withColumn("__r", F.rank().over(near)).filter(F.col("__r") <= k).drop("__r")
+    if rows is not None:
+        best = best.join(rows, keys)
+    final = W.partitionBy(question_id).orderBy(F.desc("bm25"), *(order or []), *keys)
+    return best.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)

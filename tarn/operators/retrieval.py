@@ -52,8 +52,13 @@ def _with_cosine(ranked: DataFrame, corpus: DataFrame, questions: DataFrame) ->
 def keyword_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Config = DEFAULTS, dim: int = 64) -> DataFrame:
     """The ``k`` best chunks of each question by BM25, with their cosine as similarity."""
     corpus = corpus_table(corpus)
-    hits = bm25.search(corpus, questions, KEYS, k, k1=config.bm25_k1, b=config.bm25_b)
-    return _with_cosine(hits, corpus, questions)
+    return _with_cosine(best_by_words(corpus, questions, k, config), corpus, questions)
+
+
+def best_by_words(corpus: DataFrame | bm25.Index, questions: DataFrame, k: int, config: Config = DEFAULTS, keys: DataFrame | None = None) -> DataFrame:
+    """``(question_id, chunk_no, bm25, *KEYS, rank)``: the ``k`` best chunks of each question by BM25, from a corpus or from the index of one and its ``keys``."""
+    keys = corpus.select("chunk_no", *KEYS) if keys is None else keys
+    return bm25.search(corpus, questions, ["chunk_no"], k, k1=config.bm25_k1, b=config.bm25_b, rows=keys, order=KEYS)
 
 
 def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
@@ -73,7 +78,7 @@ def hybrid_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Confi
     """The best ``k`` of both rankers' pools, fused by reciprocal ranks."""
     corpus, pool = corpus_table(corpus), config.fusion_pool
     vector = _nearest(corpus, questions, pool, dim, [])
-    keyword = bm25.search(corpus, questions, KEYS, pool, k1=config.bm25_k1, b=config.bm25_b)
+    keyword = best_by_words(corpus, questions, pool, config)
     return _with_cosine(reciprocal_rank_fusion(vector, keyword, k, config.rrf_k), corpus, questions)
 
 

@@ -203,13 +203,14 @@ def term_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.search(store(spark, sf), questions(spark, sf), KEYS, 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
+    return retrieval.best_by_words(corpus(spark, sf), questions(spark, sf), 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
 
 
 def keyword_index_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The same from postings that are kept for many searches."""
-    index = bm25.build(store(spark, sf), KEYS)
-    return bm25.search(index, questions(spark, sf), KEYS, 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
+    rows = corpus(spark, sf)
+    index = bm25.build(rows, ["chunk_no"])
+    return retrieval.best_by_words(index, questions(spark, sf), 5, keys=rows.select("chunk_no", *KEYS)).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
 
 
 # --- vector search and retrieval ---------------------------------------------------------------------
@@ -250,7 +251,7 @@ def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     rows, asked = corpus(spark, sf), questions(spark, sf)
-    fused = retrieval.reciprocal_rank_fusion(retrieval.vector_ranked(rows, asked, 15, dim=DIM), bm25.search(rows, asked, KEYS, 15), 30)
+    fused = retrieval.reciprocal_rank_fusion(retrieval.vector_ranked(rows, asked, 15, dim=DIM), retrieval.best_by_words(rows, asked, 15), 30)
     return fused.select("question_id", "document_url", *_long("chunk_index"), *[F.coalesce(r, F.lit(0)).cast("long").alias(r) for r in ("vector_rank", "keyword_rank")], F.round("rrf", 9).alias("rrf"), *_long("rank"))
 
 
