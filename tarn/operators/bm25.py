@@ -14,12 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.text import keyword_tokens
-from tarn.storage import materialize, size_bytes
+from tarn.storage import broadcast_if_small, materialize
 
 #: Terms of a set of questions up to which they are a filter of the scan of kept postings; more of them are joined.
 FILTER_TERMS = 2000
-#: Bytes of the written table of terms up to which it is broadcast; compressed columns grow about fourfold in memory.
-BROADCAST_BYTES = 16 << 20
 #: Decimals that scores are compared to; beyond them the order of summation shows.
 DECIMALS = 6
 
@@ -103,8 +101,7 @@ def search(
         frequent, stats = document_frequencies(posted), statistics(sized)
     weights = frequent.crossJoin(F.broadcast(stats)).select("term", "mean_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
     wanted = materialize(asked.join(weights, "term"), "asked-terms")
-    side = F.broadcast(wanted) if size_bytes(wanted) <= BROADCAST_BYTES else wanted
-    scored = posted.repartition(*keys).join(side, "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
+    scored = posted.repartition(*keys).join(broadcast_if_small(wanted), "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
     sums = scored.groupBy(question_id, *keys).agg(F.round(F.sum("score"), DECIMALS).alias("bm25"))
     near = W.partitionBy(question_id).orderBy(F.desc("bm25"))
     best = sums.withColumn("__r", F.rank().over(near)).filter(F.col("__r") <= k).drop("__r")

@@ -7,12 +7,22 @@ mode) a folder of our own is made.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Memory that a broadcast table may take on every executor, and how many times the bytes of its compressed files it takes there at most.
+BROADCAST_MEMORY, EXPANSION = 128 << 20, 8
 
 _own: dict[str, str] = {}
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own[app] = tempfile.mkdtemp(prefix="tarn-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 
@@ -40,9 +51,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
+    held = _scratch.get()
+    if held is not None:
+        held.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized within are deleted at its end, but for those that the function it gives has been called with.
+
+    What is returned from it must not read the others any more; kept tables belong to the scratch around, if there is one.
+    """
+    outer, held = _scratch.get(), []
+    token, kept = _scratch.set(held), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for table in held:
+            if not any(table is k for k in kept):
+                release(table)
+            elif outer is not None:
+                outer.append(table)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_tarn_path", None)
@@ -58,3 +96,8 @@ def size_bytes(df: DataFrame) -> int:
     target = jvm.org.apache.hadoop.fs.Path(df._tarn_path)
     fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
     return fs.getContentSummary(target).getLength()
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A materialized table with a hint to broadcast it, if its measured files, grown as they do in memory, are small enough; else as it is."""
+    return F.broadcast(df) if size_bytes(df) * EXPANSION <= BROADCAST_MEMORY else df

@@ -17,7 +17,7 @@ from tarn.plans.ingest import ingest, ingest_new
 from tarn.sources import rest
 from tarn.sources.evalset import read_eval_set
 from tarn.sources.store import ChunkStore, last_writes, upsert
-from tarn.storage import materialize, release, shared_dir
+from tarn.storage import broadcast_if_small, materialize, release, scratch, shared_dir
 from tarn.streaming.ingest import question_load, upsert_stream
 
 RECORD = "document_url string, document_title string, chunk_index int, text string, embedding array<float>"
@@ -216,6 +216,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_are_deleted(spark):
+    with scratch() as keep:
+        gone = materialize(spark.range(5), "x")
+        with scratch() as inner:
+            inner_gone, stays = materialize(spark.range(5), "x"), inner(materialize(spark.range(6), "y"))
+        kept = keep(materialize(stays, "z"))
+    for table in (gone, inner_gone, stays):
+        with pytest.raises(Exception):
+            spark.read.parquet(table._tarn_path)
+    assert kept.count() == 6
+    assert "broadcast" in broadcast_if_small(kept).join(kept, "id")._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_materialized_tables(spark):
     table = materialize(spark.range(5), "x")
     assert table.count() == 5 and shared_dir(spark)
