@@ -14,15 +14,12 @@ from pyspark.sql import types as T
 
 from tarn.llm.canon import apply_sql, as_type
 from tarn.llm.duck import connect, map_text
-from tarn.storage import materialize, size_bytes
+from tarn.storage import broadcast_if_small, materialize
 
 #: A line is repeated if it stands in so many documents of its site, and in so large a share of them.
 MIN_DOCS = 5
 MIN_SHARE_TENTHS = 1
 
-#: Bytes of the table of repeated lines (20 a line) up to which it is broadcast.
-BROADCAST_BYTES = 32 << 20
-
 # Names of months and days in dates, English, Spanish and German, with their short forms.
 MONTHS = (
     "jan(?:uary|uar)?|feb(?:ruary|ruar)?|mar(?:ch)?|märz?|apr(?:il)?|may|mai|june?|juni|july?|juli|aug(?:ust)?|sept?(?:ember)?|"
@@ -87,15 +84,14 @@ def repeated_lines(keyed: DataFrame, min_docs: int = MIN_DOCS, share_tenths: flo
 
 
 def _keyed(df: DataFrame, text: str, source: str, url: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``site`` and ``line_keys``, written once and read twice."""
+    """The columns ``keep`` (as ``__k0`` and so on) with ``site`` and ``line_keys``, written once and read twice."""
     rows = df.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], site(F.col(source), F.col(url)).alias("site"), F.col(text).alias("__text"))
     return materialize(line_keys(rows, "__text"), "line-keys")
 
 
 def _side(frequent: DataFrame) -> DataFrame:
     """``frequent`` written; broadcast if its measured size allows, else left to a sort-merge join that AQE splits where it is skewed."""
-    table = materialize(frequent, "repeated-lines")
-    return F.broadcast(table) if size_bytes(table) <= BROADCAST_BYTES else table
+    return broadcast_if_small(materialize(frequent, "repeated-lines"))
 
 
 def find_repeated_lines(
@@ -119,17 +115,16 @@ def remove_repeated_lines(
     """``df`` with ``output``: each text without the lines that its site repeats, other lines as they were.
 
     The texts themselves are never shuffled: the keys of each site's repeated lines, at most
-    ``10 / share_tenths`` times the mean number of a document's lines, come to the documents. Null text
-    gives null; a text of nothing but repeated lines gives ''. An existing column ``output`` is replaced.
+    ``10 / share_tenths`` times the mean number of a document's lines, come to the documents. Lines are
+    normalized once: texts are written beside their lines' keys. Null text gives null; a text of nothing but
+    repeated lines gives ''. An existing column ``output`` is replaced.
     """
-    keyed = _keyed(df, text, source, url, [])
-    # one row a site: its list is bounded by the share, whatever the site's size
-    lists = repeated_lines(keyed, min_docs, share_tenths).groupBy("site").agg(F.collect_list("key").alias("__repeated")).withColumnRenamed("site", "__site")
-    rows = df.withColumn("__site", site(F.col(source), F.col(url)))
     columns = [c for c in df.columns if c != output]
-    joined = line_keys(rows.withColumn("__text", F.col(text)), "__text", "__keys").join(_side(lists), "__site", "left")
-    kept = F.filter(
-        F.split(F.col(text), "\n", -1),
-        lambda line, i: F.coalesce(~F.array_contains(F.col("__repeated"), F.get("__keys", i)), F.lit(True)),
-    )
-    return joined.select(*[f"`{c}`" for c in columns], F.when(F.col("__repeated").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(output))
+    held = columns if text in columns else [*columns, text]
+    keyed = _keyed(df, text, source, url, held)
+    # one row a site: its list is bounded by the share, whatever the site's size
+    lists = repeated_lines(keyed, min_docs, share_tenths).groupBy("site").agg(F.collect_list("key").alias("__repeated"))
+    joined = keyed.join(_side(lists), "site", "left")
+    own = F.col(f"__k{held.index(text)}")
+    kept = F.filter(F.split(own, "\n", -1), lambda line, i: F.coalesce(~F.array_contains(F.col("__repeated"), F.get("line_keys", i)), F.lit(True)))
+    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)], F.when(F.col("__repeated").isNull(), own).otherwise(F.array_join(kept, "\n")).alias(output))

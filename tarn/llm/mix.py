@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tarn.llm.duck import map_text
 from tarn.llm.lines import site
-from tarn.storage import materialize
+from tarn.storage import materialize, scratch
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -192,8 +192,8 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     greatest of these allows.
     """
     spark = sizes.sparkSession
-    plan = reach(sizes, targets, total)
-    rows = plan.limit(MAX_SOURCES + 1).collect()
+    with scratch():
+        rows = reach(sizes, targets, total).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = _one_a_site(rows)

@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The five chunks most similar to every twentieth chunk, of all chunks, however far they are."""
     found = knn.nearest(_read(spark, sf, "chunks"), "chunk_no", "embedding", factor=knn.FAR_FACTOR, queries=lambda key: key % 20 == 0)
-    return found.select(F.col("query").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank_no"))
+    return found.select(F.col("query").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank_no"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,5 +112,11 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf)
 
 
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document's reading level comes from, before grades weigh it."""
+    found = reading.reading_features(_read(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "english", F.round("unfamiliar_2", 6).alias("unfamiliar_share"), F.round("sentence_length", 6).alias("sentence_length"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}

@@ -17,14 +17,12 @@ from pyspark.sql import types as T
 from tarn.llm.canon import apply_sql, as_type
 from tarn.llm.duck import connect, map_text
 from tarn.llm.sampling import bounded_sample
-from tarn.storage import materialize, release, size_bytes
+from tarn.storage import broadcast_if_small, materialize, scratch
 
 #: A word is on list i if at least this share of the documents that have words use it.
 SHARES = (0.40, 0.15, 0.10, 0.05)
 #: Labelled rows, chosen by their hashes, that the weights are fitted on at most.
 MAX_LABELS = 20_000
-#: Bytes of the lists up to which they are broadcast. A list has at most 1 / share times as many words as a document has distinct ones on average.
-BROADCAST_BYTES = 32 << 20
 #: Strength of the ridge that holds the weights where few documents are graded.
 RIDGE = 0.5
 LEVELS = 4
@@ -114,8 +112,7 @@ def features(profiled: DataFrame, keys: list[str]) -> DataFrame:
     ones, each occurrence counted, and letters of Chinese, Japanese or Korean are fewer than its words.
     So a page of another language doesn't become English by an English notice; a tie is not English.
     """
-    bands = materialize(familiar_words(profiled), "familiar-words")
-    side = F.broadcast(bands) if size_bytes(bands) <= BROADCAST_BYTES else bands
+    side = broadcast_if_small(materialize(familiar_words(profiled), "familiar-words"))  # a list has at most 1 / share times as many words as a document has distinct ones on average
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
     rows = profiled.select(*keys, "__row", "n_words", "n_sentences", "n_cjk", total.alias("total"), "words", "counts")
     fixed = [*keys, "n_words", "n_sentences", "n_cjk", "total"]
@@ -186,6 +183,15 @@ def fit_labels(featured: DataFrame, labels: DataFrame, key: str = "doc_id", leve
     return fit(x, data[:, -1])
 
 
+def reading_features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``features`` of every document, one row each, written out; null texts are not English and have null numbers."""
+    rows = documents.select(F.col(key).alias(key), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    with scratch() as keep:
+        profiled = materialize(profile(rows, "__text", keep=[key, "__row"]), "reading-profile")
+        found = features(profiled, [key])
+        return keep(materialize(found.withColumn("english", F.coalesce("english", F.lit(False))), "reading-features"))
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_words, english, unfamiliar_share, sentence_length, reading_level)``, one row a document.
 
@@ -194,14 +200,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     are documents of their own. Levels of documents in other languages are computed by the same formula;
     filter on ``english`` where that matters. Other columns are ignored; an empty table gives none.
     """
-    rows = documents.select(F.col(key).alias(key), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    profiled = materialize(profile(rows, "__text", keep=[key, "__row"]), "reading-profile")
-    featured = materialize(features(profiled, [key]), "reading-features")
-    release(profiled)
+    featured = reading_features(documents, key, text)
     level = F.lit(1)
     for logit in fit_labels(featured, labels, key).logits():
         level = level + F.when(logit > 0, 1).otherwise(0)
     return featured.select(
-        key, "n_words", F.coalesce("english", F.lit(False)).alias("english"), F.col("unfamiliar_2").alias("unfamiliar_share"), "sentence_length",
+        key, "n_words", "english", F.col("unfamiliar_2").alias("unfamiliar_share"), "sentence_length",
         F.when(F.col("sentence_length").isNotNull(), level).alias("reading_level"),
     )
