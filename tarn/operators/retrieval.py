@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import DEFAULTS, Config
 from tarn.functions.vector import cosine
-from tarn.operators import bm25, vector_search
+from tarn.operators import bm25, vector_index, vector_search
 from tarn.storage import materialize
 
 KEYS = ["document_url", "chunk_index"]
@@ -37,6 +37,13 @@ def vector_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Confi
     return _nearest(corpus_table(corpus), questions, k, dim, ["document_title", "text"]).select(*RANKED)
 
 
+def index_ranked(index: vector_index.VectorIndex, corpus: DataFrame, questions: DataFrame, k: int, probes: int = vector_index.PROBES) -> DataFrame:
+    """The same from an index that is kept for many searches, of the lists nearest to each question."""
+    rows = corpus_table(corpus).select("chunk_no", *KEYS, "document_title", "text")
+    found = vector_index.top_k(index, questions, "question_id", k, probes=probes, key="chunk_no", rows=rows, order=KEYS)
+    return found.withColumnRenamed("query_id", "question_id").select(*RANKED)
+
+
 def _nearest(corpus: DataFrame, questions: DataFrame, k: int, dim: int, columns: list[str]) -> DataFrame:
     found = vector_search.top_k(corpus, questions, "chunk_no", "question_id", k, dim, rows=corpus.select("chunk_no", *KEYS, *columns), order=KEYS)
     return found.withColumnRenamed("query_id", "question_id")

@@ -63,6 +63,17 @@ def top_k(
     if turns > 1:
         left = materialize(left, "corpus-blocks")
 
+    pairs = None
+    for turn in range(turns):
+        some = right if turns == 1 else right.filter(F.pmod(F.xxhash64("query_ids"), F.lit(turns)) == turn)
+        met = compared(left.crossJoin(F.broadcast(some)), k, dim)  # the measured queries, in blocks
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return best_of(pairs, key, k, rows, order)
+
+
+def compared(met: DataFrame, k: int, dim: int) -> DataFrame:
+    """``(query_id, id, similarity)`` of blocks of vectors that blocks of queries have met: of each pair of blocks every query's ``k`` best, and all that rounding may make equal."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -73,14 +84,14 @@ def top_k(
                 for start in range(0, len(q), 512):
                     s = q[start : start + 512] @ x.T
                     last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else s.min(axis=1)
-                    i, j = np.nonzero(s >= last[:, None] - 2 * 10.0**-DECIMALS)  # with all that rounding may tie
+                    i, j = np.nonzero(s >= last[:, None] - 2 * 10.0**-DECIMALS)
                     yield pa.RecordBatch.from_arrays([pa.array(query_ids[start + i]), pa.array(ids[j]), pa.array(s[i, j])], names=["query_id", "id", "similarity"])
 
-    pairs = None
-    for turn in range(turns):
-        some = right if turns == 1 else right.filter(F.pmod(F.xxhash64("query_ids"), F.lit(turns)) == turn)
-        met = left.crossJoin(F.broadcast(some)).mapInArrow(compare, "query_id long, id long, similarity double")  # the measured queries, in blocks
-        pairs = met if pairs is None else pairs.unionByName(met)
+    return met.mapInArrow(compare, "query_id long, id long, similarity double")
+
+
+def best_of(pairs: DataFrame, key: str, k: int, rows: DataFrame | None, order: list[str] | None) -> DataFrame:
+    """The ``k`` best of each query's pairs; see ``top_k``."""
     pairs = pairs.withColumn("similarity", F.round("similarity", DECIMALS))
     # bring the candidates down to a few per query before the other columns are joined
     near = W.partitionBy("query_id").orderBy(F.desc("similarity"))

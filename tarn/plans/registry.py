@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tarn.config import Config
 from tarn.functions import text as fn
 from tarn.functions.vector import cosine
-from tarn.operators import answering, bm25, browse, chunking, evaluation, retrieval, vector_search
+from tarn.operators import answering, bm25, browse, chunking, evaluation, retrieval, vector_index, vector_search
 from tarn.operators.embedding import embed, hashing_model
 from tarn.plans import oracle
 from tarn.plans.ingest import ingest, ingest_new, new_documents
+from tarn.sources.evalset import read_eval_set
 from tarn.sources.store import ChunkStore, last_writes, upsert, without_stale
 from tarn.storage import shared_dir
 from tarn.streaming.ingest import upsert_stream
@@ -46,6 +47,15 @@ def _new_store(spark: SparkSession) -> ChunkStore:
     return ChunkStore(spark, f"{shared_dir(spark)}/store-{os.urandom(8).hex()}")
 
 
+def eval_set_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The question set written as one JSON array and read in its schema."""
+    path = f"{shared_dir(spark)}/eval-set-{os.urandom(8).hex()}"
+    whole = read(spark, sf, "eval_set").orderBy("id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "question", "expect_article_ids", "must_contain", "type")))).alias("value"))  # one table of questions
+    whole.coalesce(1).write.text(path)
+    found = read_eval_set(spark, path)
+    return found.select(*_long("id"), "question", F.array_join("expect_article_ids", " ").alias("urls"), F.size("must_contain").cast("long").alias("phrases"), "type")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
     return read(spark, sf, "eval_set").withColumn("question_id", F.col("id").cast("long")).join(vectors, "question_id", "left")
@@ -235,6 +245,16 @@ def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("query_id").alias("chunk_no"), F.col("id").alias("neighbour_no"), "similarity", *_long("rank"))
 
 
+def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an index of lists finds nine tenths of the five chunks most similar to every twentieth one, and all of them with all lists probed."""
+    rows = corpus(spark, sf)
+    asked, index = rows.filter("chunk_no % 20 = 0"), vector_index.build(rows, "chunk_no", DIM)
+    exact = vector_search.top_k(rows, asked, "chunk_no", "chunk_no", 5, DIM).select("query_id", "id")
+    found = [vector_index.top_k(index, asked, "chunk_no", 5, probes=n).select("query_id", "id", F.lit(1).alias(f"in{n}")) for n in (vector_index.PROBES, len(index.centres))]
+    joined = exact.join(found[0].withColumnRenamed(f"in{vector_index.PROBES}", "near"), ["query_id", "id"], "left").join(found[1].withColumnRenamed(f"in{len(index.centres)}", "every"), ["query_id", "id"], "left")
+    return joined.agg(F.countDistinct("query_id").alias("queries"), (F.count("near") >= 0.9 * F.count("*")).alias("most_found"), (F.count("every") == F.count("*")).alias("all_found"))
+
+
 def _tiered(mode: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         found = retrieval.retrieve(corpus(spark, sf), questions(spark, sf), mode=mode, dim=DIM)
@@ -364,8 +384,8 @@ def _evaluated(mode: str) -> Query:
 def queries() -> dict[str, Query]:
     plain = [
         store_current, store_count, store_upsert, store_without_stale, documents_listed, documents_filtered, documents_by_host, documents_shown, store_banner, store_inserts, url_hosts, text_previews,
-        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert, ingest_full, ingest_incremental, embedded_chunks,
-        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_index_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, rrf_fusion, first_documents, vector_hits, evidence_table,
+        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert, ingest_full, ingest_incremental, embedded_chunks, eval_set_read,
+        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_index_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, vector_index_recall, rrf_fusion, first_documents, vector_hits, evidence_table,
         logged_tiers, run_prompts, ask_runs, citation_indices, citation_dedupe, response_parsed, answer_grades, phrases_normalized, run_costs, evaluation_report,
     ]
     return {f.__name__: f for f in plain} | {f"{mode}_topk_tiers": _tiered(mode) for mode in ("vector", "hybrid")} | {f"evaluate_{mode}": _evaluated(mode) for mode in ("vector", "hybrid")}

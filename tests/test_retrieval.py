@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tarn.config import Config
-from tarn.operators import bm25, retrieval, vector_search
+from tarn.operators import bm25, retrieval, vector_index, vector_search
 
 CORPUS = "chunk_no long, document_url string, document_title string, chunk_index int, text string, embedding array<float>"
 R = math.sqrt(0.5)
@@ -63,6 +63,27 @@ def test_queries_in_several_turns(spark, monkeypatch):
     assert sorted(map(tuple, vector_search.top_k(docs, asked, "id", "q", 3, 8).collect())) == whole and len(whole) == 120
 
 
+def test_vector_index(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [1.0]), (2002, [0.0] * 8)], "chunk_no long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 8)))], "q long, embedding array<double>")
+    want = sorted(tuple(r)[:4] for r in vector_search.top_k(docs, asked, "chunk_no", "q", 4, 8).collect())
+    index = vector_index.build(docs, "chunk_no", 8)
+    assert index.lists.selectExpr("sum(size(ids))").first()[0] == 901 and len(index.centres) == 30
+    assert sorted(tuple(r)[:4] for r in vector_index.top_k(index, asked, "q", 4, probes=30).collect()) == want  # all lists: exact
+    near = {tuple(r)[:2] for r in vector_index.top_k(index, asked, "q", 4, probes=12).collect()}
+    assert len(near & {w[:2] for w in want}) >= 0.9 * len(want)
+    empty = vector_index.build(docs.limit(0), "chunk_no", 8)
+    assert vector_index.top_k(empty, asked, "q", 4).count() == 0 and vector_index.top_k(index, asked.limit(0), "q", 4).count() == 0
+
+
+def test_index_ranked(spark):
+    docs = retrieval.corpus_table(corpus(spark, [("tiger", [1.0, 0.0]), ("kale", [0.0, 1.0])]))
+    index = vector_index.build(docs, "chunk_no", 2)
+    assert hits(retrieval.index_ranked(index, docs, ask(spark), 1)) == ["u0"]
+
+
 def test_kept_postings_give_the_same(spark, monkeypatch):
     docs = corpus(spark, [(" ".join(f"w{(i * j) % 17}" for j in range(1, 9)), None) for i in range(50)])
     asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w16 nothing"), (3, "")], "question_id long, question string")
