@@ -197,6 +197,18 @@ def statements() -> dict[str, str]:
             SELECT question_id, tier, rank, format('{{:.3f}}', round(similarity::DECIMAL(18, 6), 3)::DOUBLE) AS similarity, document_title AS title, left(text, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS preview
             FROM tiered JOIN store USING (document_url, chunk_index)""",
         "evaluate_vector": _evaluated(f"{STORE}, {_vector(5)}", "SELECT * FROM vector"),
+        "evaluate_over_http": _evaluated(f"{STORE}, {_vector(5)}", "SELECT * FROM vector"),
+        "store_cleared": f"""SELECT {fold_key} AS chunk_id, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY {fold_key} ORDER BY ingested_at DESC NULLS LAST, chunk_no DESC) AS r FROM chunks WHERE chunk_no % 2 = 1) WHERE r = 1""",
+        "embedded_topk": f"""WITH {STORE}, texts AS (SELECT 'c' AS side, chunk_no AS no, text FROM store WHERE text IS NOT NULL UNION ALL SELECT 'q', id, question FROM eval_set),
+            h AS (SELECT side, no, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS m FROM texts),
+            p AS (SELECT side, no, ('0x' || substr(m, 1, 8))::UBIGINT % 64 AS place, sum(CASE WHEN ('0x' || substr(m, 9, 1))::INT < 8 THEN 1 ELSE -1 END) AS s FROM h GROUP BY ALL),
+            v AS (SELECT side, no, place, (s::DOUBLE / sqrt(sum(s * s) OVER (PARTITION BY side, no)::DOUBLE))::FLOAT::DOUBLE AS x FROM p QUALIFY s <> 0),
+            n AS (SELECT side, no, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL),
+            met AS (SELECT q.no AS question_id, c.no AS chunk_no, round(sum(q.x * c.x) / any_value(nq.n) / any_value(nc.n), 6) AS similarity FROM v q JOIN v c USING (place)
+                JOIN n nq ON nq.side = 'q' AND nq.no = q.no JOIN n nc ON nc.side = 'c' AND nc.no = c.no WHERE q.side = 'q' AND c.side = 'c' GROUP BY ALL)
+            SELECT * FROM (SELECT question_id, document_url, chunk_index::BIGINT AS chunk_index, similarity, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, document_url, chunk_index) AS rank
+                FROM met JOIN store USING (chunk_no)) WHERE rank <= 5""",
+        "documents_api": "SELECT url, title, md5(text) AS text_md5, source FROM documents",
         "evaluate_hybrid": _evaluated(f"{_bm25(15).replace('asked AS', 'asked_terms AS').replace('FROM asked JOIN', 'FROM asked_terms JOIN')}, {_vector(15)}, {_RRF}", _with_cosine("(SELECT * FROM fused WHERE rank <= 5)")),
         "adjacent_cosine": f"""WITH {STORE}, v AS (SELECT *, embedding::DOUBLE[] AS e FROM store WHERE len(embedding) = 64)
             SELECT a.chunk_no, b.chunk_no AS next_no, {_COSINE.format(a="a.e", b="b.e")} AS similarity FROM v a JOIN v b ON b.document_url = a.document_url AND b.chunk_index = a.chunk_index + 1""",

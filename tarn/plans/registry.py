@@ -17,9 +17,10 @@ from tarn.functions import text as fn
 from tarn.functions.vector import cosine
 from tarn.operators import answering, bm25, browse, chunking, evaluation, retrieval, vector_index, vector_search
 from tarn.operators.embedding import embed, hashing_model
-from tarn.plans import oracle
+from tarn.plans import oracle, stand_ins
 from tarn.plans.ingest import ingest, ingest_new, new_documents
 from tarn.sources.evalset import read_eval_set
+from tarn.sources.rest import read_documents
 from tarn.sources.store import ChunkStore, last_writes, upsert, without_stale
 from tarn.storage import shared_dir
 from tarn.streaming.ingest import upsert_stream
@@ -47,6 +48,12 @@ def _new_store(spark: SparkSession) -> ChunkStore:
     return ChunkStore(spark, f"{shared_dir(spark)}/store-{os.urandom(8).hex()}")
 
 
+def documents_api(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents by way of a paginated endpoint."""
+    url = stand_ins.documents_endpoint(spark, f"{sf}/documents.parquet")
+    return read_documents(spark, url).select("url", "title", F.md5("text").alias("text_md5"), "source")
+
+
 def eval_set_read(spark: SparkSession, sf: str) -> DataFrame:
     """The question set written as one JSON array and read in its schema."""
     path = f"{shared_dir(spark)}/eval-set-{os.urandom(8).hex()}"
@@ -184,6 +191,16 @@ def store_inserts(spark: SparkSession, sf: str) -> DataFrame:
     return target.read().select("chunk_id", "document_title", F.md5("text").alias("text_md5"))
 
 
+def store_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of even numbers stored, the store cleared and made again, those of odd numbers stored."""
+    target, log = _new_store(spark), read(spark, sf, "chunks")
+    target.insert(log.filter("chunk_no % 2 = 0"), order=("ingested_at", "chunk_no"))
+    target.clear()
+    target.create()
+    target.insert(log.filter("chunk_no % 2 = 1"), order=("ingested_at", "chunk_no"))
+    return target.read().select("chunk_id", F.md5("text").alias("text_md5"))
+
+
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk log streamed into a store from its files."""
     path, schema = f"{sf}/chunks.parquet", read(spark, sf, "chunks").schema
@@ -245,6 +262,15 @@ def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("query_id").alias("chunk_no"), F.col("id").alias("neighbour_no"), "similarity", *_long("rank"))
 
 
+def embedded_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks most similar to each question where both are embedded by the default model."""
+    load = lambda: hashing_model(DIM)
+    rows = embed(store(spark, sf).drop("embedding"), load=load)
+    asked = embed(read(spark, sf, "eval_set").select(F.col("id").cast("long").alias("question_id"), "question"), "question", load=load)
+    ranked = retrieval.vector_ranked(rows, asked, 5, dim=DIM)
+    return ranked.select("question_id", "document_url", *_long("chunk_index"), "similarity", *_long("rank"))
+
+
 def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Whether an index of lists finds nine tenths of the five chunks most similar to every twentieth one, and all of them with all lists probed."""
     rows = corpus(spark, sf)
@@ -381,12 +407,18 @@ def _evaluated(mode: str) -> Query:
     return query
 
 
+def evaluate_over_http(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a model behind an endpoint that first refuses some calls."""
+    config = Config(llm_url=stand_ins.model_endpoint(spark), llm_model="stand-in", llm_key="none", rate_limit_backoff_seconds=0.1)
+    return evaluation.evaluate(store(spark, sf), questions(spark, sf), config, "vector", lambda: answering.http_client(config), DIM).drop("avg_seconds_per_query")
+
+
 def queries() -> dict[str, Query]:
     plain = [
-        store_current, store_count, store_upsert, store_without_stale, documents_listed, documents_filtered, documents_by_host, documents_shown, store_banner, store_inserts, url_hosts, text_previews,
-        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert, ingest_full, ingest_incremental, embedded_chunks, eval_set_read,
-        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_index_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, vector_index_recall, rrf_fusion, first_documents, vector_hits, evidence_table,
-        logged_tiers, run_prompts, ask_runs, citation_indices, citation_dedupe, response_parsed, answer_grades, phrases_normalized, run_costs, evaluation_report,
+        store_current, store_count, store_upsert, store_without_stale, documents_listed, documents_filtered, documents_by_host, documents_shown, store_banner, store_inserts, store_cleared, url_hosts, text_previews,
+        text_units, text_windows, packed_chunks, packed_small_chunks, ingest_report, documents_new, stream_upsert, ingest_full, ingest_incremental, embedded_chunks, eval_set_read, documents_api,
+        corpus_statistics, term_statistics, term_idf, bm25_topk, keyword_index_topk, keyword_topk, adjacent_cosine, vector_topk, vector_topk_batch, vector_index_recall, embedded_topk, rrf_fusion, first_documents, vector_hits, evidence_table,
+        logged_tiers, run_prompts, ask_runs, citation_indices, citation_dedupe, response_parsed, answer_grades, phrases_normalized, run_costs, evaluation_report, evaluate_over_http,
     ]
     return {f.__name__: f for f in plain} | {f"{mode}_topk_tiers": _tiered(mode) for mode in ("vector", "hybrid")} | {f"evaluate_{mode}": _evaluated(mode) for mode in ("vector", "hybrid")}
 
