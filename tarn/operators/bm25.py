@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.text import keyword_tokens
-from tarn.storage import broadcast_if_small, materialize
+from tarn.storage import BROADCAST_MEMORY, EXPANSION, materialize, size_bytes
 
 #: Terms of a set of questions up to which they are a filter of the scan of kept postings; more of them are joined.
 FILTER_TERMS = 2000
@@ -90,18 +90,24 @@ def search(
     ``keys``. Postings are dealt by document: its scores for all questions are summed up and cut to
     the best where they lie, so what is shuffled after that is ``k`` rows a question and task.
     """
-    asked = _asked(questions, question, question_id)
+    asked = materialize(_asked(questions, question, question_id), "asked-terms")
+    small = size_bytes(asked) * EXPANSION <= BROADCAST_MEMORY
+    terms = asked.select("term").distinct()
     if isinstance(corpus, Index):
-        few = [r["term"] for r in asked.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
-        within = (lambda df: df.filter(F.col("term").isin(few))) if len(few) <= FILTER_TERMS else (lambda df: df.join(asked.select("term").distinct(), "term", "left_semi"))
+        few = [r["term"] for r in terms.limit(FILTER_TERMS + 1).collect()]
+        within = (lambda df: df.filter(F.col("term").isin(few))) if len(few) <= FILTER_TERMS else (lambda df: df.join(terms, "term", "left_semi"))
         posted, frequent, stats = within(corpus.postings), within(corpus.terms), corpus.stats
     else:
-        sized = lengths(corpus, keys, text)
-        posted = materialize(postings(sized, keys, asked.select("term").distinct()), "asked-postings")  # read for the terms and for the scores
-        frequent, stats = document_frequencies(posted), statistics(sized)
+        # one pass over the corpus: each document also has a posting of no term, which carries its length
+        marked = lengths(corpus, keys, text).withColumn("tokens", F.concat(F.array(F.lit("")), "tokens"))
+        wanted = terms.unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term")))
+        held = materialize(postings(marked, keys, F.broadcast(wanted) if small else wanted), "asked-postings")
+        posted, stats = held.filter("term <> ''"), statistics(held.filter("term = ''"))
+        frequent = document_frequencies(posted)
     weights = frequent.crossJoin(F.broadcast(stats)).select("term", "mean_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
-    wanted = materialize(asked.join(weights, "term"), "asked-terms")
-    scored = posted.repartition(*keys).join(broadcast_if_small(wanted), "term").withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
+    weighted = asked.join(weights, "term")
+    scored = posted.repartition(*keys).join(F.broadcast(weighted) if small else weighted, "term")
+    scored = scored.withColumn("score", term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), k1, b))
     sums = scored.groupBy(question_id, *keys).agg(F.round(F.sum("score"), DECIMALS).alias("bm25"))
     near = W.partitionBy(question_id).orderBy(F.desc("bm25"))
     best = sums.withColumn("__r", F.rank().over(near)).filter(F.col("__r") <= k).drop("__r")

@@ -33,13 +33,13 @@ def corpus_table(corpus: DataFrame) -> DataFrame:
 
 
 def vector_ranked(corpus: DataFrame, questions: DataFrame, k: int, config: Config = DEFAULTS, dim: int = 64) -> DataFrame:
-    """The ``k`` chunks most similar to each question by cosine."""
-    return _nearest(corpus_table(corpus), questions, k, dim, ["document_title", "text"]).select(*RANKED)
+    """The ``k`` chunks most similar to each question by cosine. ``corpus`` is read twice: a store as it is, or what ``corpus_table`` wrote."""
+    return _nearest(corpus, questions, k, dim, ["document_title", "text"]).select(*RANKED)
 
 
 def index_ranked(index: vector_index.VectorIndex, corpus: DataFrame, questions: DataFrame, k: int, probes: int = vector_index.PROBES) -> DataFrame:
     """The same from an index that is kept for many searches, of the lists nearest to each question."""
-    rows = corpus_table(corpus).select("chunk_no", *KEYS, "document_title", "text")
+    rows = corpus.select("chunk_no", *KEYS, "document_title", "text")
     found = vector_index.top_k(index, questions, "question_id", k, probes=probes, key="chunk_no", rows=rows, order=KEYS)
     return found.withColumnRenamed("query_id", "question_id").select(*RANKED)
 

@@ -230,7 +230,7 @@ def term_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.best_by_words(corpus(spark, sf), questions(spark, sf), 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
+    return retrieval.best_by_words(store(spark, sf), questions(spark, sf), 5).select("question_id", "document_url", *_long("chunk_index"), "bm25", *_long("rank"))
 
 
 def keyword_index_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,13 +251,13 @@ def adjacent_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = retrieval.vector_ranked(corpus(spark, sf), questions(spark, sf), 5, dim=DIM)
+    ranked = retrieval.vector_ranked(store(spark, sf), questions(spark, sf), 5, dim=DIM)
     return ranked.select("question_id", "document_url", *_long("chunk_index"), "similarity", *_long("rank"))
 
 
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The five chunks most similar to every twentieth one, itself included."""
-    rows = corpus(spark, sf)
+    rows = store(spark, sf)
     found = vector_search.top_k(rows, rows.filter("chunk_no % 20 = 0"), "chunk_no", "chunk_no", 5, DIM)
     return found.select(F.col("query_id").alias("chunk_no"), F.col("id").alias("neighbour_no"), "similarity", *_long("rank"))
 
@@ -283,7 +283,7 @@ def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tiered(mode: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        found = retrieval.retrieve(corpus(spark, sf), questions(spark, sf), mode=mode, dim=DIM)
+        found = retrieval.retrieve((store if mode == "vector" else corpus)(spark, sf), questions(spark, sf), mode=mode, dim=DIM)
         return found.select("question_id", "document_url", *_long("chunk_index"), "similarity", *_long("rank"), "tier")
 
     return query
@@ -302,19 +302,19 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_documents(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = retrieval.vector_ranked(corpus(spark, sf), questions(spark, sf), 15, dim=DIM)
+    ranked = retrieval.vector_ranked(store(spark, sf), questions(spark, sf), 15, dim=DIM)
     return retrieval.first_documents(ranked).select("question_id", "document_url", *_long("place"))
 
 
 def vector_hits(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    firsts = retrieval.first_documents(retrieval.vector_ranked(corpus(spark, sf), asked, 15, dim=DIM))
+    firsts = retrieval.first_documents(retrieval.vector_ranked(store(spark, sf), asked, 15, dim=DIM))
     return evaluation.retrieval_hits(firsts, asked).select("question_id", "top1", "top5")
 
 
 def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
     """What every question's answer rests on, as a reader is shown it."""
-    return browse.evidence(retrieval.retrieve(corpus(spark, sf), questions(spark, sf), mode="vector", dim=DIM)).withColumn("rank", F.col("rank").cast("long"))
+    return browse.evidence(retrieval.retrieve(store(spark, sf), questions(spark, sf), mode="vector", dim=DIM)).withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- answers -----------------------------------------------------------------------------------------
