@@ -9,10 +9,12 @@ search, larger ones prune more.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,10 +29,12 @@ NEIGHBOURS = 5
 FACTOR = 4.0
 #: The same for searches that nothing but the neighbours met so far bounds.
 FAR_FACTOR = 4.0
-#: Fewest shards, most that the upper levels tell apart, and vectors a shard holds in between.
-MIN_SHARDS, MAX_SHARDS, SHARD_ROWS = 16, 4096, 32_768
+#: Fewest shards, most that the upper levels tell apart, and vectors a shard holds in between: many, since the shards that a search enters grow with their number.
+MIN_SHARDS, MAX_SHARDS, SHARD_ROWS = 16, 4096, 196_608
 #: Points and searches of one task. A shard of more is searched by several tasks, each with some of its points and some of the searches that enter it.
-TASK_POINTS, TASK_SEARCHES = 65_536, 262_144
+TASK_POINTS, TASK_SEARCHES = 262_144, 393_216
+#: Bytes that tasks are sent at a time, or so many copies of the vectors if that is more: what is shuffled for some tasks is deleted before others are sent theirs.
+ROUND_BYTES, ROUND_COPIES = 512 << 20, 3
 #: Rows of the sample that the upper levels are fitted on, a shard and in all.
 SAMPLE_PER_SHARD, MAX_SAMPLE = 256, 65_536
 #: Sample rows whose distances bound a search from the start.
@@ -281,6 +285,8 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
     With ``mutual`` (every row asks, within one radius) of any two shards only the rows of one enter the
     other, and both rows learn of each pair. Which of them alternates, so visits are spread evenly.
     A shard beyond what one task holds is divided by ``_divisions``: every search meets every point once.
+    A vector is sent to every shard that its search enters, many times the table in all, so tasks take
+    turns (``_rounds``): at any size no more than some copies of the table are on disk at once.
     """
     sample = np.frombuffer(b"".join(r["v"] for r in sampled), np.float32).reshape(-1, dim)
     if len(sample):
@@ -296,7 +302,7 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 x = _unpack(part.column("v"), dim)
-                ids = np.array([i[0] for i in part.column("ids").to_pylist()], np.int64)
+                ids = _firsts(part.column("ids"))
                 asks = part.column("asks").to_numpy(zero_copy_only=False)
                 floor = np.full(len(x), min_cosine, np.float32)
                 if min_cosine <= -1.0 and len(pivots) > k:  # the k-th nearest pivot is no nearer than the k-th neighbour
@@ -318,34 +324,51 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[0][some]), pa.array(held[1][some])], names=["shard", "points", "visits"])
 
     sizes = kinds.mapInArrow(count, "shard int, points long, visits long").groupBy("shard").agg(F.sum("points").alias("points"), F.sum("visits").alias("visits"))
-    divided = _divisions([(r["shard"], r["points"], r["visits"]) for r in sizes.collect()], shards)  # a row a shard
+    held = [(r["shard"], r["points"], r["visits"]) for r in sizes.collect()]  # a row a shard
+    divided = _divisions(held, shards)
     offsets = np.cumsum([0, *(divided[:, 0] * divided[:, 1])])
     sent = T.StructType(
         [T.StructField("task", T.IntegerType()), T.StructField("role", T.ByteType()), T.StructField("asks", T.BooleanType()), T.StructField("floor", T.FloatType())]
         + [kinds.schema["ids"], kinds.schema["v"]]
     )
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, asks, floor, home, away_rows, away in routed(batches):
-            share = _shares(ids)
-            row = np.concatenate([np.arange(len(ids)), away_rows])
-            task, role, asking, taken = _deal(np.concatenate([home, away]), np.arange(len(row)) < len(ids), share[row], asks[row], divided, offsets)
-            row = row[taken]
-            index = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(task.astype(np.int32)), pa.array(role), pa.array(asking), pa.array(floor[row]), part.column("ids").take(index), part.column("v").take(index)], names=sent.names
-            )
+    def send(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, ids, asks, floor, home, away_rows, away in routed(batches):
+                share = _shares(ids)
+                row = np.concatenate([np.arange(len(ids)), away_rows])
+                task, role, asking, taken = _deal(np.concatenate([home, away]), np.arange(len(row)) < len(ids), share[row], asks[row], divided, offsets)
+                now = (task >= low) & (task < high)
+                task, role, asking, row = task[now] - low, role[now], asking[now], row[taken[now]]
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(task.astype(np.int32)), pa.array(role), pa.array(asking), pa.array(floor[row]), part.column("ids").take(index), part.column("v").take(index)], names=sent.names
+                )
+
+        return run
 
     result = T.StructType([T.StructField("q", kinds.schema["ids"].dataType), T.StructField("p", kinds.schema["ids"].dataType), T.StructField("cosine", T.DoubleType())])
 
+    names = [c for c in sent.names if c != "v"]
+
     def search_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]  # of one task: a partition holds no other
+        rows, blocks = [], []  # of one task: a partition holds no other
+        for batch in batches:
+            if batch.num_rows:
+                blocks.append(_unpack(batch.column("v"), dim))
+                rows.append(batch.select(names).take(pa.array(np.arange(batch.num_rows))))  # copied, so the batch's vectors don't stay
         if not rows:
             return
         # numbered by key, so that ties go to the smaller one
         table = pa.Table.from_batches(rows)
-        table = table.take(pa.array(np.argsort([i[0] for i in table.column("ids").to_pylist()], kind="stable")))
-        x = _unpack(table.column("v"), dim)
+        order = np.argsort(np.concatenate([_firsts(b.column("ids")) for b in rows]), kind="stable")
+        table, place = table.take(pa.array(order)), np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        x, done = np.empty((len(order), dim), np.float32), 0
+        for n in range(len(blocks)):
+            block, blocks[n] = blocks[n], None
+            x[place[done : done + len(block)]] = block
+            done += len(block)
         role, asks = table.column("role").to_numpy(), table.column("asks").to_numpy().astype(bool)
         best = Best(len(x), k, table.column("floor").to_numpy())
         here, quiet = np.flatnonzero(role == POINT), np.zeros(len(x), bool)
@@ -361,7 +384,9 @@ def _found(kinds: DataFrame, sampled: list, k: int, min_cosine: float, factor: f
             [ids.take(pa.array(row[kept])), ids.take(pa.array(best.neighbour[row, rank][kept])), pa.array(np.clip(exact[kept], -1.0, 1.0))], names=result.names
         )
 
-    return kinds.mapInArrow(send, sent).repartitionById(int(offsets[-1]), "task").mapInArrow(search_task, result)
+    rounds = _rounds(held, divided, offsets, max(ROUND_BYTES // (4 * dim), ROUND_COPIES * sum(points for _, points, _ in held)))
+    found = [kinds.mapInArrow(send(low, high), sent).repartitionById(high - low, "task").mapInArrow(search_task, result) for low, high in rounds]
+    return found[0] if len(found) == 1 else functools.reduce(DataFrame.union, [materialize(part, "neighbours") for part in found])
 
 
 #: What a row is to a task: a point of its tree (which may ask, too), a search of the same shard, a search from another shard.
@@ -376,6 +401,26 @@ def _divisions(sizes: list[tuple[int, int, int]], shards: int) -> np.ndarray:
     return out
 
 
+def _rounds(sizes: list[tuple[int, int, int]], divided: np.ndarray, offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of tasks, each as long as ``most`` rows or one task allow; together all tasks."""
+    rows = np.zeros(int(offsets[-1]))
+    for shard, points, visits in sizes:
+        searches, groups = divided[shard]
+        rows[offsets[shard] : offsets[shard + 1]] = points / groups + (visits + points * (groups > 1)) / searches
+    out, low, sum_ = [], 0, 0.0
+    for task, n in enumerate(rows):
+        if task > low and sum_ + n > most:
+            out.append((low, task))
+            low, sum_ = task, 0.0
+        sum_ += n
+    return [*out, (low, len(rows))]
+
+
+def _firsts(lists: pa.Array) -> np.ndarray:
+    """The first element of each list; none is empty."""
+    return lists.flatten().to_numpy()[np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]]]
+
+
 def _shares(ids: np.ndarray) -> np.ndarray:
     """A number a key, by which rows are dealt to groups."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

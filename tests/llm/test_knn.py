@@ -71,6 +71,40 @@ def test_every_search_meets_every_point_once():
     assert met == {(a, b): 1 for a in range(400) for b in range(400) if at_home[b] and shard[a] == shard[b]}
 
 
+def test_rounds_hold_their_bound():
+    sizes = [(0, 100, 900), (1, 50, 0), (3, 400, 2000)]
+    divided = np.array([[3, 2], [1, 1], [1, 1], [2, 4]])
+    offsets = np.cumsum([0, *(divided[:, 0] * divided[:, 1])])
+    for most in (1, 700, 2000, 10**9):
+        rounds = knn._rounds(sizes, divided, offsets, most)
+        assert [t for low, high in rounds for t in range(low, high)] == list(range(int(offsets[-1])))
+    rows = [100 / 2 + 1000 / 3] * 6 + [50, 0] + [400 / 4 + 2400 / 2] * 8
+    assert all(sum(rows[low:high]) <= 2000 for low, high in knn._rounds(sizes, divided, offsets, 2000)) and len(knn._rounds(sizes, divided, offsets, 10**9)) == 1
+
+
+@pytest.mark.parametrize("min_cosine", [-1.0, 0.9])
+def test_rounds_lose_nothing(spark, small, monkeypatch, min_cosine):
+    """The same rows come out however few vectors are sent at a time, and what was sent in a round is gone at its end."""
+    x = np.float32(np.random.default_rng(2).normal(size=(600, 6)))
+    df = table(spark, x)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written, sent = knn.materialize, []
+
+    def watch(part, label):
+        held = blocks.getAllBlocks().mkString(" ").count("shuffle_")
+        out = written(part, label)
+        sent.append((label, blocks.getAllBlocks().mkString(" ").count("shuffle_") - held))
+        return out
+
+    rows = lambda: sorted(map(tuple, knn.nearest(df, "chunk_no", "embedding", 5, min_cosine, 1.0, dim=6).collect()))
+    whole = rows()
+    monkeypatch.setattr(knn, "materialize", watch)
+    monkeypatch.setattr(knn, "ROUND_BYTES", 1)
+    monkeypatch.setattr(knn, "ROUND_COPIES", 1)
+    assert rows() == whole and len(whole) > 600
+    assert [label for label, _ in sent].count("neighbours") > 1 and all(left <= 0 for _, left in sent)
+
+
 def test_copies_ties_and_unusable_rows(spark, small):
     base = np.float32([[1, 0, 0, 0], [0, 1, 0, 0], [0.6, 0.8, 0, 0]])
     rows = [(i, [float(v) * (1 + i) for v in base[0]]) for i in range(20)] + [(100 + i, [float(v) for v in base[1]]) for i in range(3)] + [(200, [0.6, 0.8, 0.0, 0.0])]
